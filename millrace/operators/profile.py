@@ -14,6 +14,8 @@ VALUE_BUCKETS = 256
 CLEAR = 0.012
 #: Change of the log ratio of distinct values to values that is clear, for nearly unique columns.
 CLEAR_DISTINCT = 0.25
+#: A column is nearly unique if its loads usually have at least this share of distinct values.
+NEARLY_UNIQUE = 0.9
 #: A mask is rare in its column below this share of the bulk.
 RARE = 0.005
 NUMERIC = (T.DoubleType, T.FloatType, T.IntegerType, T.LongType, T.ShortType, T.ByteType, T.DecimalType)
@@ -192,7 +194,7 @@ def column_profile(df: DataFrame, load: str = "load_no", skip: tuple[str, ...] =
     usual = out.groupBy("column_name").agg(F.median("unique").alias("usual"))
     out = out.join(usual, "column_name")
     # the sketch's error (2 %) and a load of few values are no change
-    odd = (F.col("usual") > F.log(F.lit(0.5))) & (values >= 30) & (F.abs(F.col("unique") - F.col("usual")) > CLEAR_DISTINCT)
+    odd = (F.col("usual") > F.log(F.lit(NEARLY_UNIQUE))) & (values >= 30) & (F.abs(F.col("unique") - F.col("usual")) > CLEAR_DISTINCT)
     return out.select(
         F.col("load").alias(load),
         "column_name",

@@ -98,6 +98,11 @@ def stuck_mask(values: np.ndarray) -> np.ndarray:
     length = np.diff(np.r_[start, n])
     usual = length[length < STUCK_READINGS]
     repeat = 1 - (len(usual) + 1) / (usual.sum() + 2) if len(usual) else 0.0
+    # where long runs are ordinary (coarse values that change slowly) the common ones tell
+    for share in (0.75, 0.9):
+        common = float(np.quantile(length, share))
+        if common >= STUCK_READINGS:
+            repeat = max(repeat, (1 - share) ** (1 / (common - 1)))
     chance = len(length) * np.power(max(repeat, 1 / (n + 1)), length - 1.0)
     stuck = (length >= STUCK_READINGS) & (chance <= STUCK_CHANCE)
     return np.repeat(stuck, length)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import problems
+from millrace.plans import evaluation, models, problems, reference
 
-_MODULES = [problems]
+_MODULES = [problems, reference, evaluation, models]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
