@@ -140,6 +140,8 @@ def leaks_in(index: SeedIndex, texts: list[str]) -> list[tuple[int, int, float]]
     if not docs:
         return []
     doc, item, d, i = (np.concatenate(x) for x in (docs, items, dpos, ipos))
+    if not len(doc):
+        return []
     pair = doc.astype(np.int64) * len(index.ids) + item
     order = np.lexsort((i, pair))
     pair, d, i = pair[order], d[order], i[order]

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 TRAINING_DOCUMENTS = 8_000
 #: Labelled candidates used for the fit.
 TRAINING_ROWS = 150_000
+#: With fewer labelled candidates nothing is fitted; the shape of the candidate decides.
+LEAST_ROWS = 200
 #: A token seen this often after or before candidates, but never at a certain boundary, marks certain non-boundaries.
 CERTAIN = 15
 
@@ -270,9 +272,9 @@ class BoundaryModel:
             elif line and all(hit > 3 for _, hit in ends + starts):
                 rows.append((self.features(l, r, True), 1, float(min(n, 20))))
         rows = rows[:: max(1, len(rows) // TRAINING_ROWS)]
-        index = {f: i for i, f in enumerate(sorted({f for fs, _, _ in rows for f in fs}))}
-        if not index:
+        if len(rows) < LEAST_ROWS:
             return self
+        index = {f: i for i, f in enumerate(sorted({f for fs, _, _ in rows for f in fs}))}
         width = max(len(fs) for fs, _, _ in rows)
         x = np.full((len(rows), width), len(index))
         for i, (fs, _, _) in enumerate(rows):

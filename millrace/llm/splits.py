@@ -17,7 +17,7 @@ from millrace.llm.components import hook_and_shortcut
 #: Node numbers of the three kinds lie apart: ids must be within +-2**60.
 KIND = 1 << 61
 #: Whole units of one size that the exact subset sum decides over; the rest of that size is dealt in proportion.
-EXACT_PER_SIZE = 8
+EXACT_PER_SIZE = 4
 #: Bits of the subset-sum bitset; sizes are measured in a larger grain beyond it.
 MAX_BITS = 1 << 26
 #: Units of one size are ranked in this many hash buckets per hundred thousand units.
@@ -78,19 +78,21 @@ def closest_totals(sizes: dict[int, int], shares: list[float]) -> dict[int, list
     """Deal units to splits: {size: [units for each split]}, given {size: number of units}.
 
     Of each size all but EXACT_PER_SIZE units are dealt in proportion to the shares (rounded
-    down). The remaining units go split by split: a subset-sum bitset over the sizes'
-    multiplicities (in powers of two) holds every total that can be reached, and the one
-    closest to the split's target is taken (the smaller of two equally close). The last
-    split gets what is left. Shares are scaled to sum 1.
+    down), less a part that leaves every split room for two units of the largest size; where
+    a unit is that large, nothing is dealt this way. The remaining units go split by split: a
+    subset-sum bitset over the sizes' multiplicities (in powers of two) holds every total that
+    can be reached, and the one closest to the split's target is taken (the smaller of two
+    equally close). The last split gets what is left. Shares are scaled to sum 1.
     """
     weights = [Fraction(s).limit_denominator(10**9) for s in shares]
     weights = [w / sum(weights) for w in weights]
     total = sum(s * m for s, m in sizes.items())
     dealt = {s: [0] * len(weights) for s in sizes}
+    ahead = max(Fraction(0), 1 - Fraction(2 * max(sizes, default=0)) / (min(weights) * total)) if total else Fraction(0)
     rest: dict[int, int] = {}
     for s, m in sizes.items():
         if (spare := m - EXACT_PER_SIZE) > 0:
-            dealt[s] = [int(spare * w) for w in weights]
+            dealt[s] = [int(ahead * spare * w) for w in weights]
         rest[s] = m - sum(dealt[s])
     order = sorted(range(len(weights)), key=lambda i: (weights[i], -i))
     for i in order[:-1]:
@@ -121,12 +123,9 @@ def _subset(rest: dict[int, int], want: Fraction) -> dict[int, int]:
     for n, (_, _, g) in enumerate(items):
         new = (bits << g) & ~bits
         raw = np.frombuffer(new.to_bytes(top // 8 + 1, "little"), np.uint8)
-        for byte in (spots := np.flatnonzero(raw)):
-            if len(spots) > 64:
-                break
-            first[byte * 8 + np.flatnonzero(np.unpackbits(raw[byte : byte + 1], bitorder="little"))] = n
-        if len(spots) > 64:
-            first[np.flatnonzero(np.unpackbits(raw, bitorder="little"))] = n
+        spots = np.flatnonzero(raw)
+        found = np.unpackbits(raw[spots, None], axis=1, bitorder="little").astype(bool)
+        first[(spots[:, None] * 8 + np.arange(8))[found]] = n
         bits |= new
     aim = want / grain
     reach = np.flatnonzero(first >= 0)
