@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -25,3 +28,21 @@ def session(app: str = "millrace", cpus: int | None = None, shuffle_partitions:
     builder = builder.config("spark.driver.memory", os.environ.get("MILLRACE_DRIVER_MEMORY", "8g"))
     builder = builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     return builder.getOrCreate()
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once an application, wherever the driver found it."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    home = Path(__file__).resolve().parent
+    # the driver serves the archive to the executors; only the driver reads this folder
+    archive = Path(tempfile.mkdtemp(prefix="millrace-code-")) / "millrace_code.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for p in sorted(home.rglob("*.py")):
+            out.write(p, Path("millrace") / p.relative_to(home))
+    sc.addPyFile(str(archive))
+    _shipped.add(sc.applicationId)
