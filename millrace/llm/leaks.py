@@ -22,6 +22,8 @@ NEAR, NEAR_EQUAL = 5, 3
 PLACE = 3.0
 #: Score that a step to another part of the document costs when segments are chained.
 JUMP = 7
+#: A stock phrase: a segment of up to STOCK tokens, none of them rare (in over RARE of the items) and less than two numbers; no step leads to or from it.
+STOCK, RARE = 16, 0.01
 #: A pair is verified from this share of the item's positions covered by hits.
 HIT_SHARE = 0.12
 #: An opening sentence that at least this many items share is an instruction.
@@ -46,6 +48,13 @@ class SeedIndex:
     def __init__(self, ids: list[int], texts: list[str]) -> None:
         self.ids = np.array(ids, np.int64)
         self.tokens, self.offsets = token_hashes(texts)
+        owner = np.repeat(np.arange(len(ids)), np.diff(self.offsets))
+        pairs = np.unique(np.stack([self.tokens, owner.astype(np.uint64)], 1), axis=0)[:, 0]
+        kinds, spread = np.unique(pairs, return_counts=True)
+        few = kinds[spread <= max(2, RARE * len(ids))]
+        numbers, _ = token_hashes([" ".join(f"{n} 0{n}" for n in range(10_000))])
+        # how much a token tells: two for a rare one, one for a number
+        self.telling = np.where(np.isin(self.tokens, few), 2, np.isin(self.tokens, numbers).astype(np.int64))
         hashes, items, places = [], [], []
         for k, mask in enumerate(MASKS):
             h, at, text = seeds(self.tokens, self.offsets, k, mask)
@@ -77,14 +86,15 @@ def seeds(tokens: np.ndarray, offsets: np.ndarray, k: int, mask: str) -> tuple[n
     return h[fits], fits, text[fits]
 
 
-def held_tokens(item: np.ndarray, doc: np.ndarray, diagonals: np.ndarray) -> int:
+def held_tokens(item: np.ndarray, doc: np.ndarray, diagonals: np.ndarray, telling: np.ndarray) -> int:
     """Item tokens that the document holds in one place and in order, around hits on the diagonals.
 
     On each diagonal (document minus item position) tokens that agree amid agreeing ones
     form segments. Segments are chained in the order of both texts within one place; a
     step to another part of the document costs JUMP tokens of score, a shift by inserted or
-    lost words one, so scattered stock phrases do not add up. Returns the tokens of the best
-    chain.
+    lost words one, and stock phrases (see STOCK) are left out of such steps, so they do not
+    add up however many a document holds. telling: 2 for the item's rare tokens, 1 for
+    numbers, else 0. Returns the tokens of the best chain.
     """
     n = len(item)
     spot = diagonals[:, None] + np.arange(n)
@@ -99,15 +109,19 @@ def held_tokens(item: np.ndarray, doc: np.ndarray, diagonals: np.ndarray) -> int
         return 0
     first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (at[1:] - at[:-1] > NEAR)])
     last = np.append(first[1:], len(row)) - 1
-    segments = sorted(zip(at[first].tolist(), at[last].tolist(), diagonals[row[first]].tolist(), (last - first + 1).tolist(), strict=True))
+    size = last - first + 1
+    firm = (np.add.reduceat(telling[at], first) > 1) | (size > STOCK)
+    segments = sorted(zip(at[first].tolist(), at[last].tolist(), diagonals[row[first]].tolist(), size.tolist(), firm.tolist(), strict=True))
     reach = PLACE * n + 20
     score, held, start = [], [], []
-    for k, (i, j, d, m) in enumerate(segments):
+    for k, (i, j, d, m, firm_k) in enumerate(segments):
         best, tokens, origin = m, m, d
         for q in range(k):
-            qi, qj, qd, _ = segments[q]
+            qi, qj, qd, _, firm_q = segments[q]
             if qi >= i or qj >= j or d < qd - 3 or d - start[q] > reach:
                 continue
+            if abs(d - qd) > 3 and not (firm_k and firm_q):
+                continue
             overlap = max(0, qj - i + 1, qj + qd - i - d + 1)
             gain = score[q] + m - overlap - (1 if abs(d - qd) <= 3 else JUMP)
             if gain > best:
@@ -156,7 +170,7 @@ def leaks_in(index: SeedIndex, texts: list[str]) -> list[tuple[int, int, float]]
         a, b = starts[g], ends[g]
         t, e = divmod(int(pair[a]), len(index.ids))
         words = index.tokens[index.offsets[e] : index.offsets[e + 1]]
-        held = held_tokens(words, tokens[offsets[t] : offsets[t + 1]], np.unique(d[a:b] - i[a:b]))
+        held = held_tokens(words, tokens[offsets[t] : offsets[t + 1]], np.unique(d[a:b] - i[a:b]), index.telling[index.offsets[e] : index.offsets[e + 1]])
         if held >= HELD * len(words):
             out.append((t, int(index.ids[e]), held / len(words)))
     return out

@@ -92,7 +92,16 @@ def test_held_tokens_is_in_order_and_in_one_place():
     item = np.arange(40, dtype=np.uint64)
     far = np.arange(10_000, 10_400, dtype=np.uint64)
     apart = np.concatenate([item[:15], far, item[15:]])
-    assert held_tokens(item, apart, np.array([0, 400])) == 25
+    assert held_tokens(item, apart, np.array([0, 400]), np.full(40, 2)) == 25
     swapped = np.concatenate([item[20:], item[:20]])
-    assert held_tokens(item, swapped, np.array([-20, 20])) == 20
+    assert held_tokens(item, swapped, np.array([-20, 20]), np.full(40, 2)) == 20
     assert SeedIndex([1], ["too short"]).keys.size == 0
+
+
+def test_stock_phrases_do_not_add_up():
+    item = np.arange(40, dtype=np.uint64)
+    far = np.arange(10_000, 10_060, dtype=np.uint64)
+    scattered = np.concatenate([item[:12], far, item[12:24], far, item[24:34]])
+    diagonals = np.array([0, 60, 120])
+    assert held_tokens(item, scattered, diagonals, np.zeros(40, int)) == 12
+    assert held_tokens(item, scattered, diagonals, np.ones(40, int)) > 30
