@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Documents the classifier is fitted on: all of them up to this number, else a sample by hash of the id.
-TRAINING_DOCUMENTS = 8_000
+TRAINING_DOCUMENTS = 6_000
 #: Labelled candidates used for the fit.
 TRAINING_ROWS = 150_000
 #: With fewer labelled candidates nothing is fitted; the shape of the candidate decides.
@@ -42,13 +42,13 @@ def _class(ranges) -> str:
 _SE, _CJ = _class(_SOUTHEAST), _class(_CJK)
 #: Blank lines part paragraphs, whatever the line ends.
 _PARAGRAPH = re.compile(r"[^\S\n]*\n[^\S\n]*\n\s*")
-_LIST_LINE = re.compile(r"(?:^|\n)[^\S\n]*(?:[-*•–·▪]|[0-9]{1,2}\))[^\S\n]+(?=(\S))")
+_LIST_LINE = re.compile(r"(?:^|\n)[^\S\n]*(?:[-*•–·▪]|[0-9]{1,2}\))[^\S\n]+(?=(\S)(\S?))")
 #: A capital letter of the scripts that have them, for sentences that follow without a blank.
 _CAPITAL = "A-ZÄÖÜÀ-ÞА-ЯЁӘҒҚҢӨҰҮҺІΑ-Ω"
 _CANDIDATE = re.compile(
     f"(?P<quote>{_QUOTE})"
     f"|(?P<mark>[{re.escape(END)}]*(?:[。！？।॥؟۔]|(?<![0-9])．|．(?![0-9]))[{re.escape(END + CLOSERS)}]*"
-    f"|[{re.escape(END)}]+[{re.escape(CLOSERS)}]*(?=\\s|[{_CJ}“「『«]|[{_CAPITAL}][^.{_CAPITAL}])"
+    f"|[{re.escape(END)}]+[{re.escape(CLOSERS)}]*(?=\\s|[{_CJ}“「『«]|[{_CAPITAL}][^.])"
     "|[!?]+(?=[^\\W_]))"
     f"|(?P<gap>(?<=\\S)[^\\S\\n]+(?=[{_SE}]))"
 )
@@ -103,6 +103,27 @@ def _right(flat: str, at: int, hi: int) -> str:
     return f"{token[:24]} {part[1][:16]}" if len(part) > 1 else token[:24]
 
 
+#: Capital and small letters that look alike in two scripts, Cyrillic to Latin.
+_ALIKE = str.maketrans("АВЕКМНОРСТУХаеорсухі", "ABEKMHOPCTYXaeopcyxi")
+_NUMBER = re.compile("9+")
+
+
+def _plain(token: str) -> str:
+    """A token as it is counted: numbers of any length alike, look-alike letters of one script."""
+    if "9" in token:
+        token = _NUMBER.sub("9", token)
+    return token if token.isascii() else token.translate(_ALIKE)
+
+
+def _in_capitals(left: str, right: str) -> tuple[str, str]:
+    """The tokens around a boundary in a text in capitals, as they would be elsewhere."""
+    both = left + right
+    if both.isupper() and sum(map(str.isalpha, both)) > 4:
+        word = _one(right, 0)
+        return left.lower(), " ".join([word.capitalize(), *right.lower().split(" ")[1:]])
+    return left, right
+
+
 def _one(pair: str, side: int) -> str:
     """The token of a pair that touches the boundary: the last (-1) or the first (0)."""
     return pair.rsplit(" ", 1)[-1] if side else pair.split(" ", 1)[0]
@@ -139,8 +160,9 @@ def _units(flat: str) -> Iterator[tuple[int, int, bool]]:
             continue
         cuts = []
         if "\n" in flat[a:b] or flat[a] in _MARKERS:
-            # an entry does not begin with a small letter: that is a wrapped line
-            cuts = [m.start() for m in _LIST_LINE.finditer(flat[a:b]) if not m.group(1).islower()]
+            # a numbered entry does not begin with a small letter: that is a wrapped line
+            lines = _LIST_LINE.finditer(flat[a:b])
+            cuts = [m.start() for m in lines if not m.group(1).islower() or m.group(2).isupper() or ")" not in m.group()]
             cuts = [a + c for c in cuts if c == 0 or cuts[0] == 0 or flat[a + c - 1] in END + CLOSERS + ":;"]
         if not cuts:
             yield a, b, _is_heading(flat[a:b])
@@ -181,6 +203,8 @@ def candidates(flat: str, a: int, b: int) -> Iterator[tuple[int, int, str, str,
                 continue
             yield m.start(), at, _left(flat, a, m.start()), _right(flat, at, b), False
             continue
+        if flat[at : at + 1].isupper() and flat[at + 1 : at + 2].isupper() and not flat[m.start() - 1].islower():
+            continue  # no blank, two capitals: part of a name
         nxt = at
         while nxt < b and flat[nxt] in " \n":
             nxt += 1
@@ -188,13 +212,18 @@ def candidates(flat: str, a: int, b: int) -> Iterator[tuple[int, int, str, str,
             yield at, nxt, _left(flat, a, at), _right(flat, nxt, b), "\n" in flat[at:nxt]
 
 
+def _small(word: str) -> bool:
+    """Whether a word begins small; pH does not."""
+    return word[0].islower() and not word[1:2].isupper()
+
+
 def _shape(left: str, right: str, line: bool) -> tuple[str, ...]:
     """Features that need no counts."""
     bare = left.rstrip(END + CLOSERS)
     marks = left[len(bare) :].rstrip(CLOSERS)
     mark = "0" if not marks else "e" if len(marks) > 1 and marks[0] == "." or "…" in marks else marks[0]
     kind = _script(right[0])
-    case = "U" if right[0].isupper() else "l" if right[0].islower() else kind
+    case = "l" if _small(right) else "U" if right[0].isalpha() and kind in "lg" else kind
     ls = _script(bare[-1]) if bare else "-"
     size = str(min(len(bare), 4))
     return (f"m{mark}", f"c{case}", f"m{mark}c{case}", f"s{ls}", f"n{size}", f"n{size}c{case}", f"d{'9' in bare}", f"l{line}", f"i{'.' in bare}", f"u{bare[:1].isupper()}")
@@ -213,16 +242,15 @@ class BoundaryModel:
 
     def _rate(self, table: dict[str, float], token: str) -> str:
         r = table.get(token)
-        if r is None and len(token) > 3 and token[1:].isupper():  # text in capitals
-            r = table.get(token.lower(), table.get(token.capitalize()))
         return "?" if r is None else str(sum(r > x for x in self.BUCKETS))
 
     def features(self, left: str, right: str, line: bool) -> list[str]:
+        shape = _shape(_one(left, -1), _one(right, 0), line)
+        left, right = (_plain(t) for t in _in_capitals(left, right))
         l, r = _one(left, -1), _one(right, 0)
         f, s = self._rate(self.final, l), self._rate(self.first, r)
         ff = self._rate(self.final, left) if left != l else f
         ss = self._rate(self.first, right) if right != r else s
-        shape = _shape(l, r, line)
         return ["b", f"F{f}", f"S{s}", f"FF{ff}", f"SS{ss}", f"F{f}S{s}", f"FF{ff}SS{ss}", f"S{s}{shape[0]}", f"F{f}{shape[1]}", *shape]
 
     def fit(self, texts: list[str], l2: float = 1.0, steps: int = 60) -> BoundaryModel:
@@ -231,6 +259,7 @@ class BoundaryModel:
         seen, certain = Counter(), []
 
         def count(table: Counter, pair: str, side: int) -> None:
+            pair = _plain(pair)
             table[pair] += 1
             if (token := _one(pair, side)) != pair:
                 table[token] += 1
@@ -263,11 +292,12 @@ class BoundaryModel:
         self.first = {t: rate(first[t], n) for t, n in right_all.items() if n >= 3}
         rows: list[tuple[list[str], int, float]] = [(self.features(l, r, False), 1, 1.0) for l, r in certain]
         for (l, r, line), n in seen.items():
-            ends = [(left_all[t], final[t]) for t in {l, _one(l, -1)}]
-            starts = [(right_all[t], first[t]) for t in {r, _one(r, 0)}]
+            pl, pr = _plain(l), _plain(r)
+            ends = [(left_all[t], final[t]) for t in {pl, _one(pl, -1)}]
+            starts = [(right_all[t], first[t]) for t in {pr, _one(pr, 0)}]
             never = any(k >= CERTAIN and not hit for k, hit in ends + starts)
             strong = _one(l, -1)[-1:] in "!?。！？।؟"
-            if r[0].islower() or never and not strong:
+            if _small(r) or never and not strong:
                 rows.append((self.features(l, r, line), 0, float(min(n, 20))))
             elif line and all(hit > 3 for _, hit in ends + starts):
                 rows.append((self.features(l, r, True), 1, float(min(n, 20))))
@@ -292,7 +322,7 @@ class BoundaryModel:
 
     def score(self, left: str, right: str, line: bool) -> float:
         if not self.weights:
-            return 1.0 if left[-1] in END + CLOSERS and not right[0].islower() else -1.0
+            return 1.0 if left[-1] in END + CLOSERS and not _small(right) else -1.0
         return sum(self.weights.get(f, 0.0) for f in self.features(left, right, line))
 
     def is_boundary(self, left: str, right: str, line: bool) -> bool:
