@@ -48,7 +48,7 @@ _CAPITAL = "A-ZÄÖÜÀ-ÞА-ЯЁӘҒҚҢӨҰҮҺІΑ-Ω"
 _CANDIDATE = re.compile(
     f"(?P<quote>{_QUOTE})"
     f"|(?P<mark>[{re.escape(END)}]*(?:[。！？।॥؟۔]|(?<![0-9])．|．(?![0-9]))[{re.escape(END + CLOSERS)}]*"
-    f"|[{re.escape(END)}]+[{re.escape(CLOSERS)}]*(?=\\s|[{_CJ}“「『«]|[{_CAPITAL}][^.])"
+    f"|[{re.escape(END)}]+[{re.escape(CLOSERS)}]*(?=\\s|[{_CJ}“「『«]|[{_CAPITAL}])"
     "|[!?]+(?=[^\\W_]))"
     f"|(?P<gap>(?<=\\S)[^\\S\\n]+(?=[{_SE}]))"
 )
@@ -203,8 +203,8 @@ def candidates(flat: str, a: int, b: int) -> Iterator[tuple[int, int, str, str,
                 continue
             yield m.start(), at, _left(flat, a, m.start()), _right(flat, at, b), False
             continue
-        if flat[at : at + 1].isupper() and flat[at + 1 : at + 2].isupper() and not flat[m.start() - 1].islower():
-            continue  # no blank, two capitals: part of a name
+        if flat[at : at + 1].isupper() and not flat[at + 1 : at + 2].islower() and not flat[max(a, m.start() - 3) : m.start()].islower():
+            continue  # no blank and no word before: part of a name
         nxt = at
         while nxt < b and flat[nxt] in " \n":
             nxt += 1
