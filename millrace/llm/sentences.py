@@ -203,7 +203,8 @@ def candidates(flat: str, a: int, b: int) -> Iterator[tuple[int, int, str, str,
                 continue
             yield m.start(), at, _left(flat, a, m.start()), _right(flat, at, b), False
             continue
-        if flat[at : at + 1].isupper() and not flat[at + 1 : at + 2].islower() and not flat[max(a, m.start() - 3) : m.start()].islower():
+        name = flat[at : at + 1].isupper() and (flat[at + 1 : at + 2].isupper() or flat[at + 1 : at + 2] == ".")
+        if name and not flat[max(a, m.start() - 3) : m.start()].islower():
             continue  # no blank and no word before: part of a name
         nxt = at
         while nxt < b and flat[nxt] in " \n":
