@@ -81,7 +81,7 @@ def null_profile(df: DataFrame) -> DataFrame:
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows and their share by value."""
     counts = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
-    return counts.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("_all")))).select(*columns, "n", (F.col("n") / F.col("_all")).alias("share"))
+    return counts.select(*columns, "n", (F.col("n") / df.agg(F.count(F.lit(1))).scalar()).alias("share"))
 
 
 def top_k(df: DataFrame, order: list[Column], k: int) -> DataFrame:

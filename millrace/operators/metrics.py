@@ -33,17 +33,16 @@ def regression_metrics(long: DataFrame, keys: list[str]) -> DataFrame:
 def peak_metrics(long: DataFrame, keys: list[str], threshold: DataFrame, name: str) -> DataFrame:
     """Metrics above and not above a threshold taken from another frame; groups of one row are left out.
 
-    threshold: one row with the column name; it is a scalar, so the join is a broadcast of one row.
+    threshold: a frame of one row with the column name, taken as a scalar subquery.
     """
-    rows = long.crossJoin(F.broadcast(threshold.select(name).limit(1)))
-    rows = rows.withColumn("peak", F.col("actual") > F.col(name))
+    rows = long.withColumn("peak", F.col("actual") > threshold.select(name).scalar())
     return regression_metrics(rows, [*keys, "peak"]).filter("n > 1")
 
 
 def improvement(metrics: DataFrame, keys: list[str], baseline: str, measure: str = "mae") -> DataFrame:
     """Percent by which each model's measure is below the baseline's, in the same group."""
     base = metrics.filter(F.col("model") == baseline).select(*keys, F.col(measure).alias("_base"))
-    joined = metrics.join(base, keys) if keys else metrics.crossJoin(F.broadcast(base))
+    joined = metrics.join(base, keys) if keys else metrics.withColumn("_base", base.scalar())
     return joined.withColumn("improvement_pct", 100 * (1 - F.col(measure) / F.col("_base"))).drop("_base")
 
 

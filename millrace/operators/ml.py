@@ -6,12 +6,13 @@ expressions in one aggregate, and become part of the fitted object.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.numbers import not_below_zero
@@ -74,6 +75,24 @@ class Fitted:
         return out.select(*df.columns, column)
 
 
+def save(fitted: Fitted, folder: str) -> None:
+    """Write the model and its preparation; folder may be on any file system."""
+    fitted.model.write().overwrite().save(f"{folder}/model")
+    ready = fitted.preparation
+    state = json.dumps([ready.features, ready.medians, ready.flagged, ready.means, ready.stds, fitted.name, fitted.parameter, type(fitted.model).__name__])
+    SparkSession.active().createDataFrame([(state,)], "state string").coalesce(1).write.mode("overwrite").text(f"{folder}/preparation")
+
+
+def load(folder: str) -> Fitted:
+    """A saved model with its preparation."""
+    from pyspark.ml import classification, regression
+
+    state = json.loads(SparkSession.active().read.text(f"{folder}/preparation").first()[0])
+    *ready, name, parameter, kind = state
+    reader = getattr(regression, kind, None) or getattr(classification, kind)
+    return Fitted(Preparation(*ready), reader.load(f"{folder}/model"), name, parameter)
+
+
 def fit_ridge(train: DataFrame, features: list[str], target: str, alpha: float) -> Fitted:
     """Ridge with penalty alpha on standardised features, equal to the closed form."""
     ready = prepare(train, features)
@@ -103,8 +122,8 @@ def with_class_index(df: DataFrame, label: str, labels: list[str]) -> DataFrame:
 def balanced_weights(df: DataFrame, label: str) -> DataFrame:
     """weight: rows / (classes * rows of the class)."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_k"))
-    weights = counts.crossJoin(F.broadcast(total)).select(label, (F.col("_all") / (F.col("_k") * F.col("_n"))).alias("weight"))
+    even = counts.agg(F.sum("_n") / F.count(F.lit(1))).scalar()
+    weights = counts.select(label, (even / F.col("_n")).alias("weight"))
     return df.join(F.broadcast(weights), label)  # one row per class
 
 

@@ -10,7 +10,7 @@ from millrace.plans.reference import order_days
 from millrace.sources.tables import clean, table
 
 QUERIES, ORACLE = {}, {}
-FEATURES = ["delta_lag1", "delta_lag2", "delta_lag3", "deviation_mean3", "deviation_mean7", "mean_change7", "sin_doy", "cos_doy"]
+FEATURES = ["value_lag1", "delta_lag1", "delta_lag2", "delta_lag3", "deviation_mean3", "deviation_mean7", "mean_change7", "sin_doy", "cos_doy"]
 
 
 def _frame(spark, folder):

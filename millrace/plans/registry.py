@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import evaluation, models, problems, reference
+from millrace.plans import evaluation, models, more, problems, reference
 
-_MODULES = [problems, reference, evaluation, models]
+_MODULES = [problems, reference, evaluation, models, more]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -112,7 +112,7 @@ def level_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     Returns (year, date, level_cm, marks) and (year, month, published_mean).
     """
     number = r"(?<![\d.])\d{3}(?![\d.])"
-    lines = F.transform(F.split("text", r"\r?\n"), F.trim)
+    lines = F.transform(F.split("text", r"\r?\n"), lambda x: F.trim(x))
     located = pages.select("year", lines.alias("lines")).withColumn("head", F.array_position("lines", F.lit("1 2 3 4 5 6 7 8 9 10 11 12")))
     located = located.filter(F.col("head") > 0)
     days = located.select("year", F.posexplode(F.slice("lines", F.col("head").cast("int") + 1, 31)).alias("d", "line")).withColumn("d", F.col("d") + 1)
