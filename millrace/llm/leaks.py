@@ -25,7 +25,7 @@ JUMP = 7
 #: A stock phrase: a segment of up to STOCK tokens, none of them rare (in over RARE of the items) and less than two numbers; no step leads to or from it.
 STOCK, RARE = 16, 0.01
 #: A pair is verified from this share of the item's positions covered by hits.
-HIT_SHARE = 0.12
+HIT_SHARE = 0.18
 #: An opening sentence that at least this many items share is an instruction.
 SHARED_OPENINGS = 2
 #: Seeds of evaluation items sent to the tasks at once; more items are searched in further passes.
