@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +67,7 @@ def flatten(text: str) -> str:
     return _FLAT[codes].tobytes().decode("utf-32-le", "surrogatepass")
 
 
+@cache
 def _script(c: str) -> str:
     """A rough script of a character: c (CJK), s (Southeast Asian), l, g (cased), n (caseless), 9, q, p."""
     o = ord(c)
