@@ -2,48 +2,70 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Ranges that a column's values are cut into for ranking.
+RANGES = 32
 #: A 31-bit linear congruential generator, which SQL can repeat exactly.
 LCG_A, LCG_C, LCG_M = 1_103_515_245, 12_345, 1 << 31
 
 
-def average_rank(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """Average-tie rank of each value within keys.
+def _ranges(df: DataFrame, columns: list[str]) -> dict[str, list[float]]:
+    """Cuts of each column into about RANGES ranges of equal size: RANGES numbers a column reach the driver."""
+    shares = [i / RANGES for i in range(1, RANGES)]
+    row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), shares, 10 * RANGES).alias(f"q{i}") for i, c in enumerate(columns)]).first()
+    return {c: sorted(set(row[f"q{i}"] or [])) for i, c in enumerate(columns)}
 
-    Ranks are counted over distinct values (an aggregate), not over rows, so a window holds
-    at most the distinct values of a group.
+
+def _range_of(x: Column, cuts: list[float]) -> Column:
+    """The number of cuts below x."""
+    return sum(((x > F.lit(c)).cast("int") for c in cuts), F.lit(0))
+
+
+def average_rank(df: DataFrame, keys: list[str], value: str, name: str, weight: str | None = None, part: Column | None = None) -> DataFrame:
+    """(keys, value, name): the average-tie rank of each distinct value within keys.
+
+    Values are counted first, so ties cost nothing. part, a column that never decreases with
+    the value, cuts the ranking: counts of earlier parts are summed up and only the values of
+    one part meet in a window, so a large group is ranked by many tasks.
     """
-    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.select(*keys, value, (F.coalesce(F.sum("_n").over(upto), F.lit(0)) + (F.col("_n") + 1) / 2).alias(name))
-    return df.join(ranks, [*keys, value])
+    n = F.sum(weight) if weight else F.count(F.lit(1))
+    counts = df.groupBy(*keys, (part if part is not None else F.lit(0)).alias("_part"), value).agg(n.alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = counts.groupBy(*keys, "_part").agg(F.sum("_n").alias("_all"))
+    parts = parts.select(*keys, "_part", F.coalesce(F.sum("_all").over(earlier), F.lit(0)).alias("_before"))
+    upto = Window.partitionBy(*keys, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    within = counts.withColumn("_below", F.coalesce(F.sum("_n").over(upto), F.lit(0))).join(parts, [*keys, "_part"])
+    return within.select(*keys, value, (F.col("_before") + F.col("_below") + (F.col("_n") + 1) / 2).alias(name))
 
 
 def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
     """Spearman correlation of every pair of columns (a <= b), each over the rows that have both values."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    parts = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in pairs]
-    long = df.select(F.inline(F.array(*parts))).filter("x IS NOT NULL AND y IS NOT NULL")
+    cuts = _ranges(df, columns)
+    wide = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+    wide = wide.withColumns({f"p{i}": _range_of(F.col(f"v{i}"), cuts[c]) for i, c in enumerate(columns)})
+    at = {c: i for i, c in enumerate(columns)}
+    parts = [
+        F.struct(F.lit(k).alias("pair"), *[F.col(f"{t}{at[c]}").alias(n) for c, v, p in ((a, "x", "px"), (b, "y", "py")) for t, n in (("v", v), ("p", p))])
+        for k, (a, b) in enumerate(pairs)
+    ]
+    long = wide.select(F.inline(F.array(*parts))).filter("x IS NOT NULL AND y IS NOT NULL")
     # pairs of equal values are one row with a weight: ties, however many, cost nothing
-    pooled = long.groupBy("a", "b", "x", "y").agg(F.count(F.lit(1)).alias("w"))
-
-    def ranked(rows: DataFrame, value: str, name: str) -> DataFrame:
-        counts = rows.groupBy("a", "b", value).agg(F.sum("w").alias("n"))
-        upto = Window.partitionBy("a", "b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-        ranks = counts.select("a", "b", value, (F.coalesce(F.sum("n").over(upto), F.lit(0)) + (F.col("n") + 1) / 2).alias(name))
-        return rows.join(ranks, ["a", "b", value])
-
-    both = ranked(ranked(pooled, "x", "rx"), "y", "ry")
+    pooled = long.groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("w"), F.max("px").alias("px"), F.max("py").alias("py"))
+    rx = average_rank(pooled, ["pair"], "x", "rx", "w", F.col("px"))
+    ry = average_rank(pooled, ["pair"], "y", "ry", "w", F.col("py"))
+    both = pooled.join(rx, ["pair", "x"]).join(ry, ["pair", "y"])
     w, x, y = F.col("w"), F.col("rx"), F.col("ry")
-    sums = both.groupBy("a", "b").agg(
+    sums = both.groupBy("pair").agg(
         F.sum("w").alias("n"), F.sum(w * x).alias("sx"), F.sum(w * y).alias("sy"), F.sum(w * x * x).alias("sxx"), F.sum(w * y * y).alias("syy"), F.sum(w * x * y).alias("sxy")
     )
     n = F.col("n")
     top = n * F.col("sxy") - F.col("sx") * F.col("sy")
     below = (n * F.col("sxx") - F.col("sx") * F.col("sx")) * (n * F.col("syy") - F.col("sy") * F.col("sy"))
-    return sums.select("a", "b", "n", F.when(below > 0, top / F.sqrt(below)).alias("rho"))
+    names = [F.get(F.array(*[F.lit(p[i]) for p in pairs]), F.col("pair")) for i in (0, 1)]
+    return sums.select(names[0].alias("a"), names[1].alias("b"), "n", F.when(below > 0, top / F.sqrt(below)).alias("rho"))
 
 
 def block_bootstrap(daily: DataFrame, draws: DataFrame, block: int, days: int, day: str, value: str) -> DataFrame:

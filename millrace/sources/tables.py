@@ -12,6 +12,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows over at least as many tasks as there are cores, for costly work on few files.
+
+    Large tables already come in more splits than that and are left as they are.
+    """
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= tasks else df.repartition(tasks)
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """NaN becomes null in every floating column, so that comparisons and averages skip it."""
     floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
