@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.sentences import END
 from millrace.llm.tokens import token_hashes
+from millrace.sources.tables import spread
 
 #: Fixed masks over token positions: 1 counts, 0 is ignored. All have weight 5.
 MASKS = ("11111", "1101011", "111001001", "100110101")
@@ -210,7 +211,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, text: str = "text", ite
     # an opening that is most of its item is the passage itself
     cut = "n IS NOT NULL AND 2 * length(o) < length(t)"
     pool = pool.join(shared, "o", "left").withColumn("t", F.expr(f"IF({cut}, substring(ltrim(t), length(o) + 1), t)"))
-    base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
+    base = spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")))
     schema = "doc_id long, item_id long, held double"
     found = None
     for ids, texts in _passes(pool.select("item_id", "t")):

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.sources.tables import spread
+
 #: A public byte-level vocabulary in rank form; a parameter, never part of this library.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Texts packed together. Each group leaves a few containers partly empty, of about one in a thousand.
@@ -67,7 +69,7 @@ def text_sizes(documents: DataFrame, vocabulary: str = VOCABULARY, pattern: str
                 ["doc_id", "source", "cluster", "n_tokens"],
             )
 
-    sized = base.filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    sized = spread(base.filter("doc_id IS NOT NULL AND text IS NOT NULL"))
     return sized.mapInArrow(measure, "doc_id long, source string, cluster long, n_tokens long")
 
 

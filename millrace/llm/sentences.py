@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.sources.tables import spread
+
 #: Documents the classifier is fitted on: all of them up to this number, else a sample by hash of the id.
 TRAINING_DOCUMENTS = 6_000
 #: Labelled candidates used for the fit.
@@ -376,8 +378,8 @@ def sentence_spans(documents: DataFrame, model: BoundaryModel | None = None, tex
     each document stands alone, so nothing is shuffled. model: a fitted BoundaryModel; by
     default one is fitted on these documents (see training_texts).
     """
-    base = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    model = model or BoundaryModel().fit(training_texts(base, "text", "doc_id"))
+    base = spread(documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
+    model = model or BoundaryModel().fit(training_texts(documents, text, doc_id))
     model.memo = {}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
