@@ -112,8 +112,24 @@ def held_tokens(item: np.ndarray, doc: np.ndarray, diagonals: np.ndarray, tellin
     last = np.append(first[1:], len(row)) - 1
     size = last - first + 1
     firm = (np.add.reduceat(telling[at], first) > 1) | (size > STOCK)
-    segments = sorted(zip(at[first].tolist(), at[last].tolist(), diagonals[row[first]].tolist(), size.tolist(), firm.tolist(), strict=True))
-    reach = PLACE * n + 20
+    segments = sorted(zip(diagonals[row[first]].tolist(), at[first].tolist(), at[last].tolist(), size.tolist(), firm.tolist(), strict=True))
+    # a chain lies within reach of its first diagonal: two such ranges at a time hold every chain
+    reach = int(PLACE * n + 20)
+    best, a = 0, 0
+    while a < len(segments) and best < n:
+        edge = segments[a][0] + reach
+        b = a
+        while b < len(segments) and segments[b][0] < edge + reach:
+            b += 1
+        best = max(best, _best_chain([(i, j, d, m, f) for d, i, j, m, f in segments[a:b]], reach))
+        while a < len(segments) and segments[a][0] < edge:
+            a += 1
+    return best
+
+
+def _best_chain(segments: list[tuple[int, int, int, int, bool]], reach: int) -> int:
+    """Tokens of the chain with the highest score: segments are (first, last, diagonal, tokens, firm)."""
+    segments.sort()
     score, held, start = [], [], []
     for k, (i, j, d, m, firm_k) in enumerate(segments):
         best, tokens, origin = m, m, d

@@ -32,7 +32,10 @@ CERTAIN = 15
 END = ".!?…؟۔।॥。！？．"
 WIDE_END = "。！？．"
 CLOSERS = ")]}»”\"'’」』）"
-_QUOTE = "„[^“”]*[“”]|“[^”]*”|«[^»]*»|「[^」]*」|『[^』]*』|\"[^\"]*\""
+#: Quotations up to this length hide what they hold; an unclosed mark costs no more than this.
+_QUOTED = "{0,1500}"
+_QUOTES = (("„", "“”"), ("“", "”"), ("«", "»"), ("「", "」"), ("『", "』"), ('"', '"'))
+_QUOTE = "|".join(f"{opening}[^{closing}]{_QUOTED}[{closing}]" for opening, closing in _QUOTES)
 #: Scripts written without blanks between words, by first and last code point.
 _CJK = ((0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF))
 _SOUTHEAST = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF))
@@ -44,15 +47,14 @@ def _class(ranges) -> str:
 
 _SE, _CJ = _class(_SOUTHEAST), _class(_CJK)
 #: Blank lines part paragraphs, whatever the line ends.
-_PARAGRAPH = re.compile(r"[^\S\n]*\n[^\S\n]*\n\s*")
+_PARAGRAPH = re.compile(r"\n[^\S\n]*\n\s*")
 _LIST_LINE = re.compile(r"(?:^|\n)[^\S\n]*(?:[-*•–·▪]|[0-9]{1,2}\))[^\S\n]+(?=(\S)(\S?))")
 #: A capital letter of the scripts that have them, for sentences that follow without a blank.
 _CAPITAL = "A-ZÄÖÜÀ-ÞА-ЯЁӘҒҚҢӨҰҮҺІΑ-Ω"
 _CANDIDATE = re.compile(
     f"(?P<quote>{_QUOTE})"
-    f"|(?P<mark>[{re.escape(END)}]*(?:[。！？।॥؟۔]|(?<![0-9])．|．(?![0-9]))[{re.escape(END + CLOSERS)}]*"
-    f"|[{re.escape(END)}]+[{re.escape(CLOSERS)}]*(?=\\s|[{_CJ}“「『«]|[{_CAPITAL}])"
-    "|[!?]+(?=[^\\W_]))"
+    f"|(?P<mark>(?<![{re.escape(END)}])[{re.escape(END)}]++(?:(?<=[{WIDE_END}।॥؟۔])|(?<=[!?])(?=[^\\W_])"
+    f"|(?=[{re.escape(CLOSERS)}]*+(?:\\s|[{_CJ}“「『«]|[{_CAPITAL}])))[{re.escape(CLOSERS)}]*+)"
     f"|(?P<gap>(?<=\\S)[^\\S\\n]+(?=[{_SE}]))"
 )
 _FLAT = np.arange(0x110000, dtype=np.uint32)
@@ -86,6 +88,7 @@ def _script(c: str) -> str:
 
 def _left(flat: str, lo: int, at: int) -> str:
     """The last two tokens before at, or the last characters of a run without blanks."""
+    lo = max(lo, at - 64)
     q = max(flat.rfind(" ", lo, at), flat.rfind("\n", lo, at), lo - 1)
     p = max(flat.rfind(" ", lo, q), flat.rfind("\n", lo, q), lo - 1) if q > lo else q
     token = flat[q + 1 : at]
@@ -207,6 +210,8 @@ def candidates(flat: str, a: int, b: int) -> Iterator[tuple[int, int, str, str,
                 continue
             yield m.start(), at, _left(flat, a, m.start()), _right(flat, at, b), False
             continue
+        if m.group() == "．" and flat[m.start() - 1 : m.start()] == "9" == flat[at : at + 1]:
+            continue  # a decimal sign
         name = flat[at : at + 1].isupper() and (flat[at + 1 : at + 2].isupper() or flat[at + 1 : at + 2] == ".")
         if name and not flat[max(a, m.start() - 3) : m.start()].islower():
             continue  # no blank and no word before: part of a name
@@ -365,7 +370,7 @@ def training_texts(documents: DataFrame, text: str = "text", doc_id: str = "doc_
     n = documents.count()
     parts = max(1, n // TRAINING_DOCUMENTS)
     kept = documents.filter(F.pmod(F.xxhash64(doc_id), F.lit(parts)) == 0).select(text).filter(F.col(text).isNotNull())
-    return [r[0] for r in kept.limit(2 * TRAINING_DOCUMENTS).collect()]
+    return sorted(r[0] for r in kept.limit(2 * TRAINING_DOCUMENTS).collect())
 
 
 def sentence_spans(documents: DataFrame, model: BoundaryModel | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

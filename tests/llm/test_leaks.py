@@ -105,3 +105,8 @@ def test_stock_phrases_do_not_add_up():
     diagonals = np.array([0, 60, 120])
     assert held_tokens(item, scattered, diagonals, np.zeros(40, int)) == 12
     assert held_tokens(item, scattered, diagonals, np.ones(40, int)) > 30
+
+
+def test_a_passage_many_times_over(spark):
+    item = " ".join(words(50, 400))
+    assert run(spark, [(1, (item + " ") * 4000), (2, "water " * 200_000)], [(9, item), (10, "water " * 40)]) == {(1, 9), (2, 10)}

@@ -85,3 +85,13 @@ def test_frame(spark):
     assert got == [(1, 0, 11), (1, 0, 11), (1, 12, 20), (1, 12, 20), (7, 0, 5), (7, 6, 9)]
     assert sentence_spans(df.limit(0)).count() == 0
     assert sentence_spans(df.filter("doc_id IS NULL")).first()["doc_id"] is None
+
+
+def test_odd_long_texts_take_no_long_time():
+    import time
+
+    m = fitted()
+    began = time.time()
+    for text in (" " * 500_000, "." * 300_000, "水位上升。" * 50_000, "«" * 100_000, "\n" * 300_000 + "a", '"' * 99_999, "x" * 500_000):
+        m.split(text)
+    assert time.time() - began < 20
