@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.sources.scratch import write_cut
+
 #: Quantiles of each load whose medians over the loads bound the bins of a column.
 CUTS = [0.002, 0.01, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.99, 0.998]
 #: Text values are told apart by this many hash buckets, so no column makes unbounded groups.
@@ -159,7 +161,8 @@ def column_profile(df: DataFrame, load: str = "load_no", skip: tuple[str, ...] =
     presence_divergence, changed).
     """
     fields = _columns(df, load, skip)
-    counts = token_counts(df, load, skip).persist()
+    # a small table that many steps read: written once, it keeps the plans after it short
+    counts = write_cut(token_counts(df, load, skip), "profile").df
     div = divergences(counts).withColumn("over", F.col("divergence") > F.lit(CLEAR) + _chance(F.col("n"), F.col("k")))
     pick = lambda aspect, c: F.max(F.when(F.col("aspect") == aspect, F.col(c)))
     judged = div.groupBy("load", "column_name").agg(
