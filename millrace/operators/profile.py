@@ -41,12 +41,13 @@ def text_mask(x: Column) -> Column:
 
 
 def number_mask(x: Column) -> Column:
-    """Sign and number of decimals (0 to 4 or more) of a number."""
-    text = F.abs(x).cast("string")
-    decimals = F.regexp_extract(text, r"[.]([0-9]+)$", 1)
-    length = F.when(decimals.isin("", "0"), 0).otherwise(F.least(F.length(decimals), F.lit(4)))
-    body = F.when(text.contains("E"), "9E9").otherwise(F.concat(F.lit("9."), F.substring(F.lit("9999"), F.lit(1), length)))
-    return F.concat(F.when(x < 0, "-").otherwise(""), body)
+    """Sign and number of decimals (0 to 3, or 4 for more) of a number; 9E9 for very large and very small ones."""
+    size = F.abs(x)
+    body = F.when((size >= 1e7) | ((size > 0) & (size < 1e-3)), "9E9")
+    for k in range(4):
+        scaled = size * F.lit(10.0**k)
+        body = body.when(F.abs(scaled - F.rint(scaled)) <= F.lit(1e-9) * (scaled + 1), "9." + "9" * k)
+    return F.concat(F.when(x < 0, "-").otherwise(""), body.otherwise("9.9999"))
 
 
 def _columns(df: DataFrame, load: str, skip: tuple[str, ...]) -> list[T.StructField]:
