@@ -15,6 +15,8 @@ from millrace.sources.tables import spread
 
 #: Fixed masks over token positions: 1 counts, 0 is ignored. All have weight 5.
 MASKS = ("11111", "1101011", "111001001", "100110101")
+#: Items of fewer than SHORT tokens, half of which may be too few for those, have lighter masks besides, of weight 3.
+SHORT, LIGHT_MASKS = 16, ("111", "1101", "1011")
 #: Share of an item's tokens that a document must hold, in order and in one place.
 HELD = 0.5
 #: Local agreement around a hit: of NEAR tokens on one diagonal at least NEAR_EQUAL agree.
@@ -25,14 +27,14 @@ PLACE = 3.0
 JUMP = 7
 #: A stock phrase: a segment of up to STOCK tokens, none of them rare (in over RARE of the items) and less than two numbers; no step leads to or from it.
 STOCK, RARE = 16, 0.01
-#: A pair is verified from this share of the item's positions covered by hits.
-HIT_SHARE = 0.18
 #: An opening sentence that at least this many items share is an instruction.
 SHARED_OPENINGS = 2
 #: Seeds of evaluation items sent to the tasks at once; more items are searched in further passes.
 SEEDS_PER_PASS = 2_000_000
 #: Characters worked on at once.
 CHARACTERS = 1_000_000
+#: Tokens compared at once when agreement on the diagonals is counted.
+CELLS = 4_000_000
 _BITS = 22
 
 
@@ -57,14 +59,22 @@ class SeedIndex:
         # how much a token tells: two for a rare one, one for a number
         self.telling = np.where(np.isin(self.tokens, few), 2, np.isin(self.tokens, numbers).astype(np.int64))
         hashes, items, places = [], [], []
-        for k, mask in enumerate(MASKS):
+        self.masks = []
+        short = np.diff(self.offsets) < SHORT
+        for k, mask in enumerate(MASKS + LIGHT_MASKS):
             h, at, text = seeds(self.tokens, self.offsets, k, mask)
+            if mask in LIGHT_MASKS:
+                h, at, text = (x[short[text]] for x in (h, at, text))
+            if not len(h):
+                continue
+            self.masks.append((k, mask))
             hashes.append(h)
             items.append(text)
             places.append(at - self.offsets[text])
-        h = np.concatenate(hashes)
+        none = (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
+        h, item, place = (np.concatenate(x) if x else n for x, n in zip((hashes, items, places), none, strict=True))
         order = np.argsort(h, kind="stable")
-        self.hash, self.item, self.place = h[order], np.concatenate(items)[order], np.concatenate(places)[order]
+        self.hash, self.item, self.place = h[order], item[order], place[order]
         self.keys, self.first = np.unique(self.hash, return_index=True)
         self.count = np.diff(np.append(self.first, len(self.hash)))
         self.filter = np.zeros(1 << _BITS, bool)
@@ -95,27 +105,30 @@ def held_tokens(item: np.ndarray, doc: np.ndarray, diagonals: np.ndarray, tellin
     step to another part of the document costs JUMP tokens of score, a shift by inserted or
     lost words one, and stock phrases (see STOCK) are left out of such steps, so they do not
     add up however many a document holds. telling: 2 for the item's rare tokens, 1 for
-    numbers, else 0. Returns the tokens of the best chain.
+    numbers, else 0. Returns the tokens of the best chain, or of the best diagonal if more.
     """
     n = len(item)
     spot = diagonals[:, None] + np.arange(n)
     equal = (spot >= 0) & (spot < len(doc))
     equal &= doc[np.clip(spot, 0, len(doc) - 1)] == item
-    total = np.zeros((len(diagonals), n + NEAR), np.int16)
-    np.cumsum(equal, 1, out=total[:, NEAR // 2 + 1 : NEAR // 2 + 1 + n])
-    total[:, NEAR // 2 + 1 + n :] = total[:, NEAR // 2 + n : NEAR // 2 + n + 1]
-    near = total[:, NEAR:] - total[:, :n]
+    along = np.zeros((len(diagonals), n + 1), np.int64)
+    np.cumsum(equal, 1, out=along[:, 1:])
+    k = np.arange(n)
+    near = along[:, np.minimum(k + NEAR // 2 + 1, n)] - along[:, np.maximum(k - NEAR // 2, 0)]
     row, at = np.nonzero(equal & (near >= NEAR_EQUAL))
+    # all of one diagonal is in order and in one place, however scattered
+    best = int(along[:, n].max())
     if not len(row):
-        return 0
+        return best
     first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (at[1:] - at[:-1] > NEAR)])
     last = np.append(first[1:], len(row)) - 1
-    size = last - first + 1
+    # between its first and last agreement amid others, every agreement on the diagonal counts
+    size = along[row[first], at[last] + 1] - along[row[first], at[first]]
     firm = (np.add.reduceat(telling[at], first) > 1) | (size > STOCK)
     segments = sorted(zip(diagonals[row[first]].tolist(), at[first].tolist(), at[last].tolist(), size.tolist(), firm.tolist(), strict=True))
     # a chain lies within reach of its first diagonal: two such ranges at a time hold every chain
     reach = int(PLACE * n + 20)
-    best, a = 0, 0
+    a = 0
     while a < len(segments) and best < n:
         edge = segments[a][0] + reach
         b = a
@@ -153,7 +166,7 @@ def leaks_in(index: SeedIndex, texts: list[str]) -> list[tuple[int, int, float]]
     """(text number, item id, share held) of every text that holds at least HELD of an item."""
     tokens, offsets = token_hashes(texts)
     docs, items, dpos, ipos = [], [], [], []
-    for k, mask in enumerate(MASKS):
+    for k, mask in index.masks:
         h, at, text = seeds(tokens, offsets, k, mask)
         maybe = np.flatnonzero(index.filter[(h >> np.uint64(64 - _BITS)).astype(np.int64)])
         if not len(maybe):
@@ -173,26 +186,49 @@ def leaks_in(index: SeedIndex, texts: list[str]) -> list[tuple[int, int, float]]
     doc, item, d, i = (np.concatenate(x) for x in (docs, items, dpos, ipos))
     if not len(doc):
         return []
-    pair = doc.astype(np.int64) * len(index.ids) + item
-    order = np.lexsort((i, pair))
-    pair, d, i = pair[order], d[order], i[order]
+    pair, diagonal = doc.astype(np.int64) * len(index.ids) + item, d - i
+    order = np.lexsort((diagonal, pair))
+    pair, diagonal = pair[order], diagonal[order]
+    once = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (diagonal[1:] != diagonal[:-1])])
+    pair, diagonal = pair[once], diagonal[once]
     starts = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
     ends = np.append(starts[1:], len(pair))
-    # item positions under a hit: at least the distinct first positions, at most len(mask) each
-    fresh = np.r_[True, (pair[1:] != pair[:-1]) | (i[1:] != i[:-1])]
-    distinct = np.add.reduceat(fresh, starts) if len(starts) else np.empty(0, int)
+    agree = np.add.reduceat(_agreeing(index, tokens, offsets, pair, diagonal), starts)
     size = np.diff(index.offsets)[pair[starts] % len(index.ids)]
     out = []
-    for g in np.flatnonzero(distinct >= np.maximum(1, HIT_SHARE * size)):
+    # what is held lies on the diagonals of the hits, so no other pair can hold enough
+    for g in np.flatnonzero(agree >= HELD * size):
         a, b = starts[g], ends[g]
         t, e = divmod(int(pair[a]), len(index.ids))
         words = index.tokens[index.offsets[e] : index.offsets[e + 1]]
-        held = held_tokens(words, tokens[offsets[t] : offsets[t + 1]], np.unique(d[a:b] - i[a:b]), index.telling[index.offsets[e] : index.offsets[e + 1]])
+        held = held_tokens(words, tokens[offsets[t] : offsets[t + 1]], diagonal[a:b], index.telling[index.offsets[e] : index.offsets[e + 1]])
         if held >= HELD * len(words):
             out.append((t, int(index.ids[e]), held / len(words)))
     return out
 
 
+def _agreeing(index: SeedIndex, tokens: np.ndarray, offsets: np.ndarray, pair: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
+    """Tokens that agree on each diagonal of a pair: at least what a chain can take from it."""
+    t, e = np.divmod(pair, len(index.ids))
+    low = np.maximum(0, -diagonal)
+    length = np.minimum(np.diff(index.offsets)[e], np.diff(offsets)[t] - diagonal) - low
+    a, b = index.offsets[e] + low, offsets[t] + diagonal + low
+    # half the hash is enough for a bound
+    left, right = index.tokens.astype(np.uint32), tokens.astype(np.uint32)
+    total = np.cumsum(length)
+    out = np.empty(len(pair), np.int64)
+    x = 0
+    while x < len(pair):
+        y = max(x + 1, int(np.searchsorted(total, total[x] - length[x] + CELLS)))
+        size = length[x:y]
+        first = np.cumsum(size) - size
+        cell = np.arange(int(size.sum()))
+        same = left[np.repeat(a[x:y] - first, size) + cell] == right[np.repeat(b[x:y] - first, size) + cell]
+        out[x:y] = np.add.reduceat(same, first, dtype=np.int64)
+        x = y
+    return out
+
+
 def _pieces(texts: list[str | None]) -> Iterator[list[int]]:
     """Numbers of texts in groups of about CHARACTERS characters."""
     group, size = [], 0
@@ -219,7 +255,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, text: str = "text", ite
     Items go to the tasks in passes of at most SEEDS_PER_PASS seeds, so what is sent is
     bounded whatever their number; documents are never shuffled, and copies each have their
     rows. Null and blank texts and items, and items with fewer tokens than the shortest
-    mask, hold nothing. Repeated item ids count once per text.
+    mask (3), hold nothing. Repeated item ids count once per text.
     """
     pool = items.select(F.col("item_id").cast("long").alias("item_id"), F.col(item_text).alias("t"))
     pool = pool.filter("item_id IS NOT NULL AND trim(t) <> ''").withColumn("o", F.lower(F.expr(opening("t"))))

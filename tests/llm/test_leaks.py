@@ -110,3 +110,16 @@ def test_stock_phrases_do_not_add_up():
 def test_a_passage_many_times_over(spark):
     item = " ".join(words(50, 400))
     assert run(spark, [(1, (item + " ") * 4000), (2, "water " * 200_000)], [(9, item), (10, "water " * 40)]) == {(1, 9), (2, 10)}
+
+
+def test_half_of_a_short_item_and_scattered_words(spark):
+    text = " ".join
+    filler = lambda s: text(words(100, s))
+    items = [words(n, 500 + n) for n in (5, 6, 9, 10, 12)]
+    docs = [(len(w), filler(600 + len(w)) + " " + text(w[: (len(w) + 1) // 2]) + " " + filler(620 + len(w))) for w in items]
+    docs.append((1, filler(640) + " " + text(items[4][3:7])))
+    long = words(60, 650)
+    kept = [set(random.Random(660 + n).sample(range(60), 36)) for n in range(12)]
+    docs += [(100 + n, text(w if k in s else f"zz{k}" for k, w in enumerate(long))) for n, s in enumerate(kept)]
+    want = {(len(w), len(w)) for w in items} | {(100 + n, 60) for n in range(12)}
+    assert run(spark, docs, [(len(w), text(w)) for w in [*items, long]]) == want
