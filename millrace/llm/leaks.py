@@ -27,6 +27,8 @@ PLACE = 3.0
 JUMP = 7
 #: A stock phrase: a segment of up to STOCK tokens, none of them rare (in over RARE of the items) and less than two numbers; no step leads to or from it.
 STOCK, RARE = 16, 0.01
+#: Stock phrases that together are at least this share of the item are the item.
+WHOLE = 0.9
 #: An opening sentence that at least this many items share is an instruction.
 SHARED_OPENINGS = 2
 #: Seeds of evaluation items sent to the tasks at once; more items are searched in further passes.
@@ -46,15 +48,12 @@ def opening(column: str) -> str:
 
 
 class SeedIndex:
-    """Spaced seeds of a block of items, sorted by hash."""
+    """Spaced seeds of a block of items, sorted by hash. rare: hashes of each item's rare tokens, as signed numbers."""
 
-    def __init__(self, ids: list[int], texts: list[str]) -> None:
+    def __init__(self, ids: list[int], texts: list[str], rare: list[list[int]] | None = None) -> None:
         self.ids = np.array(ids, np.int64)
         self.tokens, self.offsets = token_hashes(texts)
-        owner = np.repeat(np.arange(len(ids)), np.diff(self.offsets))
-        pairs = np.unique(np.stack([self.tokens, owner.astype(np.uint64)], 1), axis=0)[:, 0]
-        kinds, spread = np.unique(pairs, return_counts=True)
-        few = kinds[spread <= max(2, RARE * len(ids))]
+        few = np.array([h for of_item in rare or [] for h in of_item], np.int64).view(np.uint64)
         numbers, _ = token_hashes([" ".join(f"{n} 0{n}" for n in range(10_000))])
         # how much a token tells: two for a rare one, one for a number
         self.telling = np.where(np.isin(self.tokens, few), 2, np.isin(self.tokens, numbers).astype(np.int64))
@@ -104,7 +103,7 @@ def held_tokens(item: np.ndarray, doc: np.ndarray, diagonals: np.ndarray, tellin
     form segments. Segments are chained in the order of both texts within one place; a
     step to another part of the document costs JUMP tokens of score, a shift by inserted or
     lost words one, and stock phrases (see STOCK) are left out of such steps, so they do not
-    add up however many a document holds. telling: 2 for the item's rare tokens, 1 for
+    add up however many a document holds, unless they make up WHOLE of the item. telling: 2 for the item's rare tokens, 1 for
     numbers, else 0. Returns the tokens of the best chain, or of the best diagonal if more.
     """
     n = len(item)
@@ -117,7 +116,7 @@ def held_tokens(item: np.ndarray, doc: np.ndarray, diagonals: np.ndarray, tellin
     near = along[:, np.minimum(k + NEAR // 2 + 1, n)] - along[:, np.maximum(k - NEAR // 2, 0)]
     row, at = np.nonzero(equal & (near >= NEAR_EQUAL))
     # all of one diagonal is in order and in one place, however scattered
-    best = int(along[:, n].max())
+    best, whole = int(along[:, n].max()), int(np.any(equal, 0).sum()) >= WHOLE * n
     if not len(row):
         return best
     first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (at[1:] - at[:-1] > NEAR)])
@@ -135,6 +134,9 @@ def held_tokens(item: np.ndarray, doc: np.ndarray, diagonals: np.ndarray, tellin
         while b < len(segments) and segments[b][0] < edge + reach:
             b += 1
         best = max(best, _best_chain([(i, j, d, m, f) for d, i, j, m, f in segments[a:b]], reach))
+        if whole and best < WHOLE * n:
+            total = _best_chain([(i, j, d, m, True) for d, i, j, m, _ in segments[a:b]], reach)
+            best = total if total >= WHOLE * n else best
         while a < len(segments) and segments[a][0] < edge:
             a += 1
     return best
@@ -266,8 +268,8 @@ def leaked_items(documents: DataFrame, items: DataFrame, text: str = "text", ite
     base = spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")))
     schema = "doc_id long, item_id long, held double"
     found = None
-    for ids, texts in _passes(pool.select("item_id", "t")):
-        index = SeedIndex(ids, texts)
+    for ids, texts, rare in _passes(pool.select("item_id", "t")):
+        index = SeedIndex(ids, texts, rare)
 
         def search(batches: Iterator[pa.RecordBatch], index: SeedIndex = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -290,15 +292,35 @@ def leaked_items(documents: DataFrame, items: DataFrame, text: str = "text", ite
     return found
 
 
-def _passes(pool: DataFrame) -> Iterator[tuple[list[int], list[str]]]:
-    """Items in blocks of bounded seeds; the driver holds one block at a time."""
-    ids, texts, size = [], [], 0
-    for row in pool.toLocalIterator():
+def rare_tokens(items: DataFrame) -> DataFrame:
+    """(item_id, rare): hashes of the tokens of each item (item_id, t) that few of all items hold, as signed numbers."""
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, offsets = token_hashes(batch.column(1).to_pylist())
+            owner = np.repeat(batch.column(0).to_numpy(), np.diff(offsets))
+            yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(hashes.view(np.int64))], ["item_id", "token"])
+
+    each = items.mapInArrow(tokens, "item_id long, token long").distinct()
+    limit = F.greatest(F.lit(2.0), RARE * F.col("items"))
+    count = items.agg(F.countDistinct("item_id").alias("items"))
+    few = each.groupBy("token").count().crossJoin(F.broadcast(count)).filter(F.col("count") <= limit).select("token")
+    return each.join(few, "token").groupBy("item_id").agg(F.collect_list("token").alias("rare"))
+
+
+def _passes(pool: DataFrame) -> Iterator[tuple[list[int], list[str], list[list[int]]]]:
+    """Items in blocks of bounded seeds, with their rare tokens; the driver holds one block at a time.
+
+    Which tokens are rare is counted over all items, so it does not depend on the blocks.
+    """
+    ids, texts, rare, size = [], [], [], 0
+    for row in pool.join(rare_tokens(pool), "item_id", "left").select("item_id", "t", "rare").toLocalIterator():
         ids.append(row[0])
         texts.append(row[1])
+        rare.append(row[2] or [])
         size += len(MASKS) * len(row[1])
         if size >= SEEDS_PER_PASS:
-            yield ids, texts
-            ids, texts, size = [], [], 0
+            yield ids, texts, rare
+            ids, texts, rare, size = [], [], [], 0
     if ids:
-        yield ids, texts
+        yield ids, texts, rare

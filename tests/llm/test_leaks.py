@@ -123,3 +123,17 @@ def test_half_of_a_short_item_and_scattered_words(spark):
     docs += [(100 + n, text(w if k in s else f"zz{k}" for k, w in enumerate(long))) for n, s in enumerate(kept)]
     want = {(len(w), len(w)) for w in items} | {(100 + n, 60) for n in range(12)}
     assert run(spark, docs, [(len(w), text(w)) for w in [*items, long]]) == want
+
+
+def test_ordinary_sentences_whatever_the_passes(spark, monkeypatch):
+    from millrace.llm import leaks
+
+    common = words(40, 700)
+    items = [random.Random(710 + n).sample(common, 40) for n in range(6)]
+    text = " ".join
+    apart = lambda w: ". ".join(text(w[k : k + 10]) + ". " + text(words(25, 720 + k)) for k in range(0, len(w), 10))
+    docs = [(1, apart(items[0])), (2, apart(items[1][:30]))]
+    given = [(n, text(w)) for n, w in enumerate(items)]
+    assert run(spark, docs, given) == {(1, 0)}
+    monkeypatch.setattr(leaks, "SEEDS_PER_PASS", 500)
+    assert run(spark, docs, given) == {(1, 0)}
