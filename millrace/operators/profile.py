@@ -14,9 +14,11 @@ CUTS = [0.002, 0.01, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.
 VALUE_BUCKETS = 256
 #: Divergence (Jensen-Shannon, bits) that is a clear change, beyond what chance explains.
 CLEAR = 0.012
-#: Change of the log ratio of distinct values to values that is clear, for nearly unique columns.
+#: A rate is changed beyond CLEAR_RATE and so many standard errors, the larger of chance and the loads' spread, from the median load.
+CLEAR_RATE, ERRORS = 0.005, 6.0
+#: Change of the logs of distinct values and of their ratio to values that is clear.
 CLEAR_DISTINCT = 0.25
-#: A column is nearly unique if its loads usually have at least this share of distinct values.
+#: A column is nearly unique if its loads usually have at least this share of distinct values; then the ratio alone tells.
 NEARLY_UNIQUE = 0.9
 #: A mask is rare in its column below this share of the bulk.
 RARE = 0.005
@@ -147,14 +149,23 @@ def _chance(n: Column, k: Column) -> Column:
     return (k + 6 * F.sqrt(2.0 * k)) / (8 * n * F.lit(0.6931471805599453))
 
 
+def _departs(x: Column, chance: Column, floor: float) -> Column:
+    """Whether x is clearly off the median load of its column: chance is its standard error by chance alone."""
+    each = Window.partitionBy("column_name")
+    spread = 1.4826 * F.median(F.abs(x)).over(each)
+    return F.abs(x) > floor + ERRORS * F.greatest(chance, spread)
+
+
 def column_profile(df: DataFrame, load: str = "load_no", skip: tuple[str, ...] = ("received_at",)) -> DataFrame:
     """Profile of every column of every load, and whether it departs from the bulk of the loads.
 
     Aspects: presence (null, NaN, value), masks (character classes of texts, sign and
     decimals of numbers), values (bins of numbers, dates and flags; hash buckets of texts)
-    and distinct values of nearly unique columns. A load's column is changed if the
-    divergence of an aspect from the bulk exceeds CLEAR plus the chance of so many values,
-    or its share of distinct values departs. Rows with a null load number belong to no load
+    and distinct values. A load's column is changed if the divergence of an aspect from the
+    bulk exceeds CLEAR plus the chance of so many values; if its rate of nulls, NaN, rare
+    masks or values that are rare in the bulk (for numbers and dates those beyond its range)
+    departs from the other loads' rates; or if its distinct values do, both by themselves and
+    by their ratio to the values, so that the size of a load is no change. Rows with a null load number belong to no load
     and are left out; columns that are null throughout have only their presence; an empty
     table has no rows. Any column names and any number of columns will do.
     Returns (load_no, column_name, n_rows, null_rate, nan_rate, n_distinct, min_value,
@@ -170,6 +181,7 @@ def column_profile(df: DataFrame, load: str = "load_no", skip: tuple[str, ...] =
         pick("masks", "divergence").alias("mask_divergence"),
         pick("masks", "rare").alias("rare_mask_rate"),
         pick("values", "divergence").alias("value_divergence"),
+        pick("values", "rare").alias("rare_value_rate"),
         pick("presence", "divergence").alias("presence_divergence"),
         F.max("over").alias("over"),
     )
@@ -195,10 +207,23 @@ def column_profile(df: DataFrame, load: str = "load_no", skip: tuple[str, ...] =
     out = ranges.join(state, ["load", "column_name"]).join(masks, ["load", "column_name"], "left").join(judged, ["load", "column_name"], "left")
     values = F.col("n_rows") - F.col("nulls") - F.col("nans")
     out = out.withColumn("unique", F.when(values > 0, F.log(F.col("n_distinct") / values)))
-    usual = out.groupBy("column_name").agg(F.median("unique").alias("usual"))
-    out = out.join(usual, "column_name")
+    each = Window.partitionBy("column_name")
+    rates = {"nulls": (F.col("nulls") / F.col("n_rows"), F.col("n_rows")), "nans": (F.col("nans") / F.col("n_rows"), F.col("n_rows"))}
+    rates |= {x: (F.col(x), F.when(values > 0, values)) for x in ("rare_mask_rate", "rare_value_rate")}
+    shift = [(F.median(x).over(each), x, n) for x, n in rates.values()]
+    off = [(x - m).alias(f"off{k}") for k, (m, x, _) in enumerate(shift)]
+    chance = [F.sqrt(F.greatest(m * (1 - m), 1 / n) / n).alias(f"chance{k}") for k, (m, _, n) in enumerate(shift)]
+    count = F.when(values > 0, F.log("n_distinct"))
+    usual = F.median("unique").over(each).alias("usual")
+    out = out.select("*", usual, (F.col("unique") - F.median("unique").over(each)).alias("ratio"), (count - F.median(count).over(each)).alias("kinds"), *off, *chance)
     # the sketch's error (2 %) and a load of few values are no change
-    odd = (F.col("usual") > F.log(F.lit(NEARLY_UNIQUE))) & (values >= 30) & (F.abs(F.col("unique") - F.col("usual")) > CLEAR_DISTINCT)
+    clear = (values >= 30) & (F.abs("ratio") > CLEAR_DISTINCT)
+    error = F.lit(0.02) + 1 / F.sqrt(F.greatest(values, F.lit(1)))
+    both = (F.abs("kinds") > CLEAR_DISTINCT) & (F.signum("ratio") == F.signum("kinds"))
+    both &= _departs(F.col("ratio"), error, CLEAR_DISTINCT) | _departs(F.col("kinds"), error, CLEAR_DISTINCT)
+    odd = F.coalesce(clear & ((F.col("usual") > F.log(F.lit(NEARLY_UNIQUE))) | both), F.lit(False))
+    for k in range(len(shift)):
+        odd = odd | F.coalesce(_departs(F.col(f"off{k}"), F.col(f"chance{k}"), CLEAR_RATE), F.lit(False))
     return out.select(
         F.col("load").alias(load),
         "column_name",
@@ -213,7 +238,7 @@ def column_profile(df: DataFrame, load: str = "load_no", skip: tuple[str, ...] =
         "mask_divergence",
         "value_divergence",
         "presence_divergence",
-        (F.coalesce("over", F.lit(False)) | F.coalesce(odd, F.lit(False))).alias("changed"),
+        (F.coalesce("over", F.lit(False)) | odd).alias("changed"),
     )
 
 

@@ -44,6 +44,18 @@ def test_every_kind_of_change_is_found_and_nothing_else(spark):
     assert changed(spark, rows) == {(9, "x"), (10, "x"), (11, "code"), (12, "day"), (13, "ok"), (14, "x"), (15, "n"), (16, "x")}
 
 
+def test_rates_ranges_and_distinct_values_against_their_spread(spark):
+    size = 3000
+    rows = [x for no in range(1, 10) for x in load(no, size)]
+    rows += load(10, size, x=lambda v, r: 1e9 if v and r.random() < 0.02 else v)
+    rows += load(11, size, x=lambda v, r: None if r.random() < 0.055 else v)
+    rows += load(12, size, code=lambda v, r: "0110?" if r.random() < 0.02 else v)
+    rows += load(13, size, x=lambda v, r: float("nan") if r.random() < 0.02 else v)
+    rows += load(14, size, day=lambda v, r: v - dt.timedelta(days=v.toordinal() % 4))
+    rows += load(15, 100) + load(16, 12_000)
+    assert changed(spark, rows) == {(10, "x"), (11, "x"), (12, "code"), (13, "x"), (14, "day")}
+
+
 def test_null_loads_empty_tables_null_columns_and_names(spark):
     df = spark.createDataFrame([(None, *r[1:]) for r in load(1, 5)], SCHEMA)
     assert profile.column_profile(df).count() == 0
