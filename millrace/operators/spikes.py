@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.times import finite, readable_time
+from millrace.sources.scratch import write_cut
 
 #: Readings of one series that are judged together, and readings shown on either side of them.
 CHUNK, HALO = 16_384, 1_024
@@ -89,6 +90,32 @@ def spike_mask(values: np.ndarray) -> np.ndarray:
     return out
 
 
+def _quantile(length: np.ndarray, runs: np.ndarray, share: float) -> float:
+    """Quantile of run lengths in rising order that occur so many times each."""
+    upto = np.cumsum(runs)
+    at = share * (upto[-1] - 1)
+    low, high = (float(length[np.searchsorted(upto, k, side="right")]) for k in (np.floor(at), np.ceil(at)))
+    return low + (high - low) * (at - np.floor(at))
+
+
+def stuck_lengths(length: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """Which run lengths (in rising order, with the number of such runs in the series) the other runs do not explain."""
+    n, total = int((length * runs).sum()), int(runs.sum())
+    short = length < STUCK_READINGS
+    usual, readings = int(runs[short].sum()), int((length * runs)[short].sum())
+    ordinary = 1 - (usual + 1) / (readings + 2) if usual else 0.0
+    out = np.zeros(len(length), bool)
+    for k in np.flatnonzero(~short):
+        others, repeat = runs - (np.arange(len(runs)) == k), ordinary
+        # where long runs are ordinary (coarse values that change slowly) the common ones tell
+        for share in (0.75, 0.9) if total > 1 else ():
+            common = _quantile(length, others, share)
+            if common >= STUCK_READINGS:
+                repeat = max(repeat, (1 - share) ** (1 / (common - 1)))
+        out[k] = total * max(repeat, 1 / (n + 1)) ** (float(length[k]) - 1) <= STUCK_CHANCE
+    return out
+
+
 def stuck_mask(values: np.ndarray) -> np.ndarray:
     """Readings in runs of equal values that the series' ordinary repeats do not explain."""
     n = len(values)
@@ -96,30 +123,62 @@ def stuck_mask(values: np.ndarray) -> np.ndarray:
         return np.zeros(n, bool)
     start = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
     length = np.diff(np.r_[start, n])
-    usual = length[length < STUCK_READINGS]
-    repeat = 1 - (len(usual) + 1) / (usual.sum() + 2) if len(usual) else 0.0
-    # where long runs are ordinary (coarse values that change slowly) the common ones tell
-    for share in (0.75, 0.9):
-        common = float(np.quantile(length, share))
-        if common >= STUCK_READINGS:
-            repeat = max(repeat, (1 - share) ** (1 / (common - 1)))
-    chance = len(length) * np.power(max(repeat, 1 / (n + 1)), length - 1.0)
-    stuck = (length >= STUCK_READINGS) & (chance <= STUCK_CHANCE)
-    return np.repeat(stuck, length)
+    kinds, of, runs = np.unique(length, return_inverse=True, return_counts=True)
+    return np.repeat(stuck_lengths(kinds, runs)[of], length)
+
+
+#: What a chunk tells: ids of spikes (edge -1); its runs by length (edge 0), with the ids of long ones; and the runs at its
+#: first (edge 1) and last (edge 2) reading, which may go on in other chunks. joined: the run goes on from the chunk before.
+_TOLD = "station_id string, parameter string, chunk long, edge int, joined boolean, length long, runs long, ids array<long>"
 
 
 def _judge(table: pa.Table) -> pa.Table:
-    """Flags of one chunk; only its own readings are returned, the halo is context."""
+    """Spikes and runs of one chunk, of its own readings; the halo is context."""
     r, ids = table["r"].to_numpy(), table["reading_id"].to_numpy()
     value, own = table["v"].to_numpy(), table["own"].to_numpy(zero_copy_only=False)
     order = np.argsort(r)
     ids, value, own = ids[order], value[order], own[order]
     again = np.r_[False, ids[1:] == ids[:-1]]
     ids, value, own = ids[~again], value[~again], own[~again]
-    spike, stuck = spike_mask(value), stuck_mask(value)
-    hit = own & (spike | stuck)
-    kind = np.where(spike[hit], "spike", "stuck")
-    return pa.table({"reading_id": pa.array(ids[hit], pa.int64()), "kind": pa.array(kind, pa.string())})
+    rows = [(-1, False, 0, 0, ids[own & spike_mask(value)])]
+    at = np.flatnonzero(own)
+    if len(at):
+        new = np.r_[True, value[1:] != value[:-1]][at]
+        joined = not new[0]
+        new[0] = True
+        start = np.flatnonzero(new)
+        length = np.diff(np.r_[start, len(at)])
+        mine = ids[at]
+        rows.append((1, joined, length[0], 1, mine[: length[0]]))
+        if len(start) > 1:
+            rows.append((2, False, length[-1], 1, mine[start[-1] :]))
+        run = np.repeat(np.arange(len(start)), length)
+        for size, count in zip(*np.unique(length[1:-1], return_counts=True), strict=True):
+            inner = np.r_[False, length[1:-1] == size, False] if size >= STUCK_READINGS else np.zeros(len(start), bool)
+            rows.append((0, False, size, count, mine[inner[run]]))
+    edge, joined, length, runs, found = zip(*rows, strict=True)
+    same = {c: pa.array([table[c][0].as_py()] * len(rows), t) for c, t in (("station_id", pa.string()), ("parameter", pa.string()), ("chunk", pa.int64()))}
+    told = {"edge": pa.array(edge, pa.int32()), "joined": pa.array(joined, pa.bool_()), "length": pa.array([int(x) for x in length], pa.int64())}
+    return pa.table(same | told | {"runs": pa.array([int(x) for x in runs], pa.int64()), "ids": pa.array([x.tolist() for x in found], pa.list_(pa.int64()))})
+
+
+def _stuck_series(table: pa.Table) -> pa.Table:
+    """Stuck run lengths of one series."""
+    table = table.sort_by("length")
+    stuck = stuck_lengths(table["length"].to_numpy(), table["n"].to_numpy())
+    return table.select(["station_id", "parameter", "length"]).filter(pa.array(stuck))
+
+
+def _stuck_readings(told: DataFrame) -> DataFrame:
+    """(reading_id) of stuck runs: runs are put together over chunk borders and judged by all other runs of the series."""
+    series = ["station_id", "parameter"]
+    upto = Window.partitionBy(*series).orderBy("chunk", "edge").rowsBetween(Window.unboundedPreceding, 0)
+    border = told.filter("edge > 0").withColumn("runs", F.when(F.col("joined"), 0).otherwise(1).cast("long"))
+    border = border.withColumn("run", F.sum("runs").over(upto)).withColumn("length", F.sum("length").over(Window.partitionBy(*series, "run")))
+    runs = told.filter("edge = 0").select(*series, "length", "runs", "ids").unionByName(border.select(*series, "length", "runs", "ids"))
+    lengths = runs.groupBy(*series, "length").agg(F.sum("runs").alias("n"))
+    stuck = lengths.groupBy(*series).applyInArrow(_stuck_series, "station_id string, parameter string, length long")
+    return runs.join(stuck, [*series, "length"]).select(F.explode("ids").alias("reading_id"))
 
 
 def implausible_readings(readings: DataFrame, value: str = "value_ugm3") -> DataFrame:
@@ -128,7 +187,8 @@ def implausible_readings(readings: DataFrame, value: str = "value_ugm3") -> Data
     A series is one station_id and parameter in order of time, then reading_id. Every series
     is ranked by day (counts of earlier days plus the rank within the day) and cut into
     chunks of CHUNK ranks that also show HALO readings of both neighbours, so a series with a
-    third of all rows is many small groups. Normal behaviour is that of the chunk.
+    third of all rows is many small groups. The normal step is that of the chunk; a stuck run
+    is as long as it is in the series and is judged by all other runs of the series.
 
     Null and NaN values, infinities, unreadable times and null stations or parameters are no
     part of a series (a negative value is a case even without a readable time). Negative
@@ -149,8 +209,11 @@ def implausible_readings(readings: DataFrame, value: str = "value_ugm3") -> Data
     shown = ranked.select(
         "station_id", "parameter", "r", "reading_id", "v", F.explode(F.sequence(F.greatest(lo, F.lit(0)), hi)).alias("chunk")
     ).withColumn("own", F.col("chunk") == F.floor(F.col("r") / CHUNK))
-    flags = shown.groupBy("station_id", "parameter", "chunk").applyInArrow(_judge, "reading_id long, kind string")
-    return below.unionByName(flags).groupBy("reading_id").agg(F.min("kind").alias("kind"))
+    # few rows, read several times
+    told = write_cut(shown.groupBy("station_id", "parameter", "chunk").applyInArrow(_judge, _TOLD), "spikes").df
+    jumps = told.filter("edge = -1").select(F.explode("ids").alias("reading_id"), F.lit("spike").alias("kind"))
+    stuck = _stuck_readings(told).withColumn("kind", F.lit("stuck"))
+    return below.unionByName(jumps).unionByName(stuck).groupBy("reading_id").agg(F.min("kind").alias("kind"))
 
 
 def implausible_pairs(pairs: DataFrame, ratio: float = 1.2) -> DataFrame:

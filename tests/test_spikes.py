@@ -80,6 +80,15 @@ def test_chunks_agree_with_the_whole(spark, monkeypatch):
     assert set(whole) == {500, 1499, 1500, 2400, *range(995, 1015)}
 
 
+def test_a_freeze_does_not_excuse_itself_and_may_cover_chunks(spark, monkeypatch):
+    short = [5.0, 6.0, 5.5, 6.5, 5.0, 6.0, 5.5, 6.5] + [7.0] * 40
+    long = list(walk(150, seed=6)) + [60.0] * 1500 + list(walk(150, seed=7))
+    monkeypatch.setattr(spikes, "CHUNK", 500)
+    monkeypatch.setattr(spikes, "HALO", 100)
+    got = found(spark, series(short) + series(long, "110", first=10_000))
+    assert got == {i: "stuck" for i in [*range(8, 48), *range(10_150, 11_650)]}
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 5])
 def test_short_series(n):
     v = np.full(n, 3.0)
