@@ -32,10 +32,9 @@ CERTAIN = 15
 END = ".!?…؟۔।॥。！？．"
 WIDE_END = "。！？．"
 CLOSERS = ")]}»”\"'’」』）"
-#: Quotations up to this length hide what they hold; an unclosed mark costs no more than this.
-_QUOTED = "{0,1500}"
+#: Quotations hide what they hold: opening marks and what closes them.
 _QUOTES = (("„", "“”"), ("“", "”"), ("«", "»"), ("「", "」"), ("『", "』"), ('"', '"'))
-_QUOTE = "|".join(f"{opening}[^{closing}]{_QUOTED}[{closing}]" for opening, closing in _QUOTES)
+_CLOSING = {opening: (closing, re.compile(f"[{closing}]")) for opening, closing in _QUOTES}
 #: Scripts written without blanks between words, by first and last code point.
 _CJK = ((0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF))
 _SOUTHEAST = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF))
@@ -52,7 +51,7 @@ _LIST_LINE = re.compile(r"(?:^|\n)[^\S\n]*(?:[-*•–·▪]|[0-9]{1,2}\))[^\S\n
 #: A capital letter of the scripts that have them, for sentences that follow without a blank.
 _CAPITAL = "A-ZÄÖÜÀ-ÞА-ЯЁӘҒҚҢӨҰҮҺІΑ-Ω"
 _CANDIDATE = re.compile(
-    f"(?P<quote>{_QUOTE})"
+    f"(?P<quote>[{''.join(_CLOSING)}])"
     f"|(?P<mark>(?<![{re.escape(END)}])[{re.escape(END)}]++(?:(?<=[{WIDE_END}।॥؟۔])|(?<=[!?])(?=[^\\W_])"
     f"|(?=[{re.escape(CLOSERS)}]*+(?:\\s|[{_CJ}“「『«]|[{_CAPITAL}])))[{re.escape(CLOSERS)}]*+)"
     f"|(?P<gap>(?<=\\S)[^\\S\\n]+(?=[{_SE}]))"
@@ -189,11 +188,22 @@ def _is_heading(text: str) -> bool:
     return len(text) <= 70 and text[-1] not in END + CLOSERS and _NUMBERED.match(text) is not None
 
 
+def _matches(flat: str, a: int, b: int) -> Iterator[tuple[str, int, int]]:
+    """(kind, start, end) of quotations, end marks and gaps, in linear time: a mark that nothing closes is passed over."""
+    last = {opening: max(flat.rfind(c, a, b) for c in closing) for opening, (closing, _) in _CLOSING.items()}
+    at = a
+    while m := _CANDIDATE.search(flat, at, b):
+        at = m.end()
+        if m.lastgroup == "quote":
+            if last[m.group()] < at:
+                continue
+            at = _CLOSING[m.group()][1].search(flat, at, b).end()
+        yield m.lastgroup, m.start(), at
+
+
 def candidates(flat: str, a: int, b: int) -> Iterator[tuple[int, int, str, str, bool]]:
     """(end of the left sentence, start of the right one, left token, right token, at a line end)."""
-    for m in _CANDIDATE.finditer(flat, a, b):
-        kind = m.lastgroup
-        at = m.end()
+    for kind, first, at in _matches(flat, a, b):
         if kind == "quote":
             # an end mark inside the closing quote may end the sentence, if no clause follows
             if flat[at - 2] not in END or at >= b or flat[at] not in " \n" or flat[at - 1] == "」":
@@ -205,15 +215,15 @@ def candidates(flat: str, a: int, b: int) -> Iterator[tuple[int, int, str, str,
                 yield at, nxt, flat[at - 2 : at], _right(flat, nxt, b), "\n" in flat[at:nxt]
             continue
         if kind == "gap":
-            left = flat[m.start() - 1]
+            left = flat[first - 1]
             if left in END:
                 continue
-            yield m.start(), at, _left(flat, a, m.start()), _right(flat, at, b), False
+            yield first, at, _left(flat, a, first), _right(flat, at, b), False
             continue
-        if m.group() == "．" and flat[m.start() - 1 : m.start()] == "9" == flat[at : at + 1]:
+        if flat[first:at] == "．" and flat[first - 1 : first] == "9" == flat[at : at + 1]:
             continue  # a decimal sign
         name = flat[at : at + 1].isupper() and (flat[at + 1 : at + 2].isupper() or flat[at + 1 : at + 2] == ".")
-        if name and not flat[max(a, m.start() - 3) : m.start()].islower():
+        if name and not flat[max(a, first - 3) : first].islower():
             continue  # no blank and no word before: part of a name
         nxt = at
         while nxt < b and flat[nxt] in " \n":

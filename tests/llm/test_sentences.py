@@ -95,3 +95,14 @@ def test_odd_long_texts_take_no_long_time():
     for text in (" " * 500_000, "." * 300_000, "水位上升。" * 50_000, "«" * 100_000, "\n" * 300_000 + "a", '"' * 99_999, "x" * 500_000):
         m.split(text)
     assert time.time() - began < 20
+
+
+def test_long_quotations_are_one_sentence():
+    from millrace.llm.sentences import candidates
+
+    inside = "The level rose. It fell again. " * 100
+    for opening, closing in ("„“", "“”", "«»", "「」", '""'):
+        text = f"Crews said {opening}{inside}{closing} at noon. Then it rained."
+        assert next(candidates(text, 0, len(text)))[0] == text.index(" Then")
+        stray = f"Crews {opening} said so. Then it rained."
+        assert next(candidates(stray, 0, len(stray)))[0] == stray.index(" Then")
