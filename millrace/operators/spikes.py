@@ -1,9 +1,10 @@
 """Implausible readings: spikes, stuck values, impossible values.
 
 Spikes come from phase-space thresholding: readings whose value, first and second difference
-lie outside a robust ellipsoid are replaced and the ellipsoid is fitted again until nothing
-new is found; an exact check of the excursion against its neighbours follows. Stuck values are
-runs of zero difference that are improbable in their series, and bounds catch the rest.
+lie outside a robust ellipsoid are replaced by the level around them and the ellipsoid is fitted
+again, until nothing new lies outside. Of the readings so found, the bound of the task keeps those
+that stand off their neighbours by a factor. Stuck values are runs of zero difference that are
+improbable in their series, and bounds catch the rest.
 """
 
 from __future__ import annotations
@@ -20,72 +21,94 @@ from millrace.sources.scratch import write_cut
 CHUNK, HALO = 16_384, 1_024
 #: Longest spike in readings; least log ratio to both neighbours ("about four", less noise).
 SPIKE_READINGS, SPIKE_LOG_RATIO = 3, 1.1
-#: A spike's log ratio must also exceed this many times the 90 % quantile of the series' steps.
-SPIKE_STEPS = 3.0
+#: The level around a reading is the median of so many readings on either side: more than a spike can outweigh.
+AROUND = 4
+#: Quantiles of absolute deviations, with those of the normal distribution, whose larger ratio is the robust spread: the
+#: median alone is 0 where values repeat.
+SPREADS = ((0.5, 0.6745), (0.9, 1.6449))
+#: Least spread of logs.
+LEAST_SPREAD = 1e-3
 #: Shortest stuck run; a run is stuck if chance would give fewer such runs in the series than this.
 STUCK_READINGS, STUCK_CHANCE = 8, 1e-5
-ROUNDS = 12
-MAD = 1.4826
 
+#: Spread of value, first and second difference, correlation of value and second difference, readings.
+Ellipsoid = tuple[float, float, float, float, int]
 
-def _spread(x: np.ndarray) -> float:
-    return float(MAD * np.median(np.abs(x - np.median(x))))
 
+def _spread(z: np.ndarray) -> float:
+    z = np.abs(z)
+    return max(LEAST_SPREAD, *(float(np.quantile(z, q)) / normal for q, normal in SPREADS))
 
-def phase_space_candidates(x: np.ndarray) -> np.ndarray:
-    """Mask of points outside the robust ellipsoid of value, first and second difference."""
+
+def _phase_space(x: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The level around each reading, and the reading's (value off the level, first difference, second difference)."""
+    padded = np.pad(x, AROUND, mode="reflect")
+    level = np.median(np.lib.stride_tricks.sliding_window_view(padded, 2 * AROUND + 1), axis=1)
+    left, right = np.r_[x[1], x[:-1]], np.r_[x[1:], x[-2]]
+    return level, (x - level, (right - left) / 2, left - 2 * x + right)
+
+
+def _ellipsoid(u: np.ndarray, d1: np.ndarray, d2: np.ndarray, readings: int) -> Ellipsoid:
+    su, s1, s2 = _spread(u), _spread(d1), _spread(d2)
+    a, b = np.clip(u / su, -3, 3), np.clip(d2 / s2, -3, 3)
+    tilt = float((a @ b) / np.sqrt((a @ a) * (b @ b) + 1e-12))
+    return su, s1, s2, min(max(tilt, -0.95), 0.95), readings
+
+
+def phase_space_outliers(x: np.ndarray, usual: Ellipsoid | None = None) -> tuple[np.ndarray, Ellipsoid]:
+    """Mask of the readings outside the robust ellipsoid of value, first and second difference, and the last ellipsoid.
+
+    Each round the farthest of neighbouring readings outside are replaced by the level around
+    them, so that a reading beside a spike is judged without it. The ellipsoid's radius is the
+    universal threshold, sqrt(2 ln n). It is fitted anew each round, unless that of the whole series (usual) is given.
+    Rounds go on until nothing new lies outside; every round but the last finds a reading.
+    """
     n = len(x)
-    found = np.zeros(n, bool)
-    if n < 5:
-        return np.ones(n, bool)
-    limit = np.sqrt(2 * np.log(n))
-    clean, at = x.copy(), np.arange(n)
-    for _ in range(ROUNDS):
-        u = clean - np.median(clean)
-        d1 = np.gradient(u)
-        d2 = np.gradient(d1)
-        su, s1, s2 = (max(_spread(z), 1e-9) for z in (u, d1, d2))
-        turn = np.arctan2(float(u @ d2), max(float(u @ u), 1e-12))
-        c, s = np.cos(turn), np.sin(turn)
-        a = max(np.sqrt(abs((c * su) ** 2 - (s * s2) ** 2)), 1e-9)
-        b = max(np.sqrt(abs((c * s2) ** 2 - (s * su) ** 2)), 1e-9)
-        r = ((u * c + d2 * s) / a) ** 2 + (d1 / s1) ** 2 + ((d2 * c - u * s) / b) ** 2
-        new = (r > limit**2) & ~found
+    found, clean = np.zeros(n, bool), x
+    while True:
+        level, (u, d1, d2) = _phase_space(clean)
+        shape = usual or _ellipsoid(u, d1, d2, n)
+        su, s1, s2, tilt, readings = shape
+        a, b = u / su, d2 / s2
+        far = (a * a - 2 * tilt * a * b + b * b) / (1 - tilt * tilt) + (d1 / s1) ** 2
+        far[found] = 0
+        beside = np.pad(far, 1)
+        new = (far > 2 * np.log(readings)) & (far >= beside[:-2]) & (far >= beside[2:])
         if not new.any():
-            break
+            return found, shape
         found |= new
-        if found.all():
-            break
-        clean = np.interp(at, at[~found], x[~found])
-    return found
+        clean = np.where(found, level, x)
+
+
+def _logs(values: np.ndarray) -> np.ndarray | None:
+    """Logs of non-negative values, zeros as a thousandth of the median; None where nothing is positive."""
+    positive = values[values > 0]
+    return np.log(np.maximum(values, 1e-3 * float(np.median(positive)))) if len(positive) else None
+
 
+def spike_mask(values: np.ndarray, usual: Ellipsoid | None = None) -> np.ndarray:
+    """Readings of a time-ordered series of non-negative values that belong to a spike.
 
-def spike_mask(values: np.ndarray) -> np.ndarray:
-    """Readings of a time-ordered series of non-negative values that belong to a spike."""
+    All readings of a spike lie outside the ellipsoid: that is what "far more than the usual
+    step" means. A series of fewer readings than a level needs (2 * AROUND + 1) has no usual
+    step, and the bound alone decides.
+    """
     n = len(values)
     out = np.zeros(n, bool)
-    if n < 3:
-        return out
-    positive = values[values > 0]
-    if not len(positive):
+    x = _logs(values) if n >= 3 else None
+    if x is None:
         return out
-    x = np.log(np.maximum(values, 1e-3 * float(np.median(positive))))
-    least = max(SPIKE_LOG_RATIO, SPIKE_STEPS * float(np.quantile(np.abs(np.diff(x)), 0.9)))
-    candidate = phase_space_candidates(x)
+    outside = phase_space_outliers(x, usual)[0] if n > 2 * AROUND else np.ones(n, bool)
     wide = np.pad(x, 1, constant_values=np.nan)
     for length in range(1, SPIKE_READINGS + 1):
-        starts = np.arange(n - length + 1)
+        starts = np.flatnonzero(np.lib.stride_tricks.sliding_window_view(outside, length).all(1))
+        inside = np.lib.stride_tricks.sliding_window_view(x, length)[starts]
         left, right = wide[starts], wide[starts + length + 1]
-        inside = np.lib.stride_tricks.sliding_window_view(x, length)
-        near_high, near_low = np.fmax(left, right), np.fmin(left, right)
-        with np.errstate(invalid="ignore"):
-            jump = (inside.min(1) - near_high >= least) | (near_low - inside.max(1) >= least)
         # at the ends of a series a spike has one neighbour, which must be most of what is there
-        edge = np.isnan(left) | np.isnan(right)
-        jump &= np.lib.stride_tricks.sliding_window_view(candidate, length).any(1)
-        for i in np.flatnonzero(jump):
-            if edge[i] and n < 4 * length:
-                continue
+        enough = ~(np.isnan(left) | np.isnan(right)) | (n >= 4 * length)
+        above = inside.min(1) - np.fmax(left, right) >= SPIKE_LOG_RATIO
+        below = np.fmin(left, right) - inside.max(1) >= SPIKE_LOG_RATIO
+        for i in starts[(above | below) & enough]:
             out[i : i + length] = True
     return out
 
@@ -132,15 +155,31 @@ def stuck_mask(values: np.ndarray) -> np.ndarray:
 _TOLD = "station_id string, parameter string, chunk long, edge int, joined boolean, length long, runs long, ids array<long>"
 
 
-def _judge(table: pa.Table) -> pa.Table:
-    """Spikes and runs of one chunk, of its own readings; the halo is context."""
+def _in_order(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(reading_id, value, own) of a chunk by rank, a reading that is there again left out."""
     r, ids = table["r"].to_numpy(), table["reading_id"].to_numpy()
     value, own = table["v"].to_numpy(), table["own"].to_numpy(zero_copy_only=False)
     order = np.argsort(r)
     ids, value, own = ids[order], value[order], own[order]
     again = np.r_[False, ids[1:] == ids[:-1]]
-    ids, value, own = ids[~again], value[~again], own[~again]
-    rows = [(-1, False, 0, 0, ids[own & spike_mask(value)])]
+    return ids[~again], value[~again], own[~again]
+
+
+def _shape(table: pa.Table) -> pa.Table:
+    """The ellipsoid of one chunk, if it has the readings for one."""
+    _, value, own = _in_order(table)
+    x = _logs(value) if len(value) > 2 * AROUND else None
+    shapes = [] if x is None else [(*phase_space_outliers(x)[1][:4], int(own.sum()))]
+    same = {c: pa.array([table[c][0].as_py()] * len(shapes), table.schema.field(c).type) for c in ("station_id", "parameter")}
+    parts = zip(*shapes, strict=True) if shapes else [[]] * 5
+    return pa.table(same | dict(zip(("su", "s1", "s2", "tilt", "n"), map(pa.array, parts, [pa.float64()] * 4 + [pa.int64()]), strict=True)))
+
+
+def _judge(table: pa.Table, usual: pa.Table) -> pa.Table:
+    """Spikes and runs of one chunk, of its own readings; the halo is context. usual: the ellipsoid of a series of several chunks."""
+    ids, value, own = _in_order(table)
+    shape = tuple(usual[c][0].as_py() for c in ("su", "s1", "s2", "tilt", "n")) if len(usual) else None
+    rows = [(-1, False, 0, 0, ids[own & spike_mask(value, shape)])]
     at = np.flatnonzero(own)
     if len(at):
         new = np.r_[True, value[1:] != value[:-1]][at]
@@ -187,8 +226,9 @@ def implausible_readings(readings: DataFrame, value: str = "value_ugm3") -> Data
     A series is one station_id and parameter in order of time, then reading_id. Every series
     is ranked by day (counts of earlier days plus the rank within the day) and cut into
     chunks of CHUNK ranks that also show HALO readings of both neighbours, so a series with a
-    third of all rows is many small groups. The normal step is that of the chunk; a stuck run
-    is as long as it is in the series and is judged by all other runs of the series.
+    third of all rows is many small groups. The ellipsoid of a series of several chunks has the
+    medians of the spreads that its chunks settle on, so all of a series is judged alike; a
+    stuck run is as long as it is in the series and is judged by all other runs of the series.
 
     Null and NaN values, infinities, unreadable times and null stations or parameters are no
     part of a series (a negative value is a case even without a readable time). Negative
@@ -200,17 +240,27 @@ def implausible_readings(readings: DataFrame, value: str = "value_ugm3") -> Data
     series = base.filter("v >= 0 AND t IS NOT NULL AND station_id IS NOT NULL AND parameter IS NOT NULL")
     series = series.withColumn("day", F.floor(F.unix_micros("t") / 86_400_000_000))
     keys = ["station_id", "parameter", "day"]
-    earlier = Window.partitionBy("station_id", "parameter").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    days = series.groupBy(*keys).count().withColumn("offset", F.coalesce(F.sum("count").over(earlier), F.lit(0))).drop("count")
     within = Window.partitionBy(*keys).orderBy("t", "reading_id")
-    ranked = series.withColumn("rn", F.row_number().over(within)).join(days, keys)
-    ranked = ranked.withColumn("r", F.col("offset") + F.col("rn") - 1)
+    # times are read once; what follows scans this table
+    ranked = write_cut(series.select(*keys, "reading_id", "v", F.row_number().over(within).alias("rn")), "readings").df
+    each = Window.partitionBy("station_id", "parameter")
+    earlier = each.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = ranked.groupBy(*keys).count().withColumn("offset", F.coalesce(F.sum("count").over(earlier), F.lit(0)))
+    days = days.withColumn("several", F.sum("count").over(each) > CHUNK).drop("count")
+    ranked = ranked.join(days, keys).withColumn("r", F.col("offset") + F.col("rn") - 1)
     lo, hi = F.floor((F.col("r") - HALO) / CHUNK), F.floor((F.col("r") + HALO) / CHUNK)
+    chunk = ["station_id", "parameter", "chunk"]
     shown = ranked.select(
-        "station_id", "parameter", "r", "reading_id", "v", F.explode(F.sequence(F.greatest(lo, F.lit(0)), hi)).alias("chunk")
+        "station_id", "parameter", "several", "r", "reading_id", "v", F.explode(F.sequence(F.greatest(lo, F.lit(0)), hi)).alias("chunk")
     ).withColumn("own", F.col("chunk") == F.floor(F.col("r") / CHUNK))
+    large = shown.filter("several").drop("several")
+    shapes = large.groupBy(*chunk).applyInArrow(_shape, "station_id string, parameter string, su double, s1 double, s2 double, tilt double, n long")
+    middle = [F.percentile_approx(c, 0.5).alias(c) for c in ("su", "s1", "s2", "tilt")]
+    usual = shapes.groupBy("station_id", "parameter").agg(*middle, F.sum("n").alias("n"))
+    usual = large.select(*chunk).distinct().join(usual, ["station_id", "parameter"]).withColumnsRenamed({c: f"of_{c}" for c in chunk})
     # few rows, read several times
-    told = write_cut(shown.groupBy("station_id", "parameter", "chunk").applyInArrow(_judge, _TOLD), "spikes").df
+    judged = shown.drop("several").groupBy(*chunk).cogroup(usual.groupBy(*[f"of_{c}" for c in chunk])).applyInArrow(_judge, _TOLD)
+    told = write_cut(judged, "spikes").df
     jumps = told.filter("edge = -1").select(F.explode("ids").alias("reading_id"), F.lit("spike").alias("kind"))
     stuck = _stuck_readings(told).withColumn("kind", F.lit("stuck"))
     return below.unionByName(jumps).unionByName(stuck).groupBy("reading_id").agg(F.min("kind").alias("kind"))

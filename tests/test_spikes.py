@@ -89,6 +89,42 @@ def test_a_freeze_does_not_excuse_itself_and_may_cover_chunks(spark, monkeypatch
     assert got == {i: "stuck" for i in [*range(8, 48), *range(10_150, 11_650)]}
 
 
+def test_the_ellipsoid_decides(spark, monkeypatch):
+    """Excursions that a noisy series shows all the time pass the bound, but do not leave the ellipsoid."""
+    noisy = 50 * np.exp(np.random.default_rng(1).normal(0, 0.7, 3000))
+    noisy[[700, 1900]] = 50 * np.exp([6.0, -6.0])
+    got = spikes.spike_mask(noisy)
+    assert got[[700, 1900]].all() and got.sum() < 20
+    monkeypatch.setattr(spikes, "phase_space_outliers", lambda x, usual=None: (np.ones(len(x), bool), None))
+    assert spikes.spike_mask(noisy).sum() > 400
+
+
+def test_the_usual_step_is_that_of_the_series(spark, monkeypatch):
+    """A calm chunk of a noisy series is judged by the series."""
+    rng = np.random.default_rng(2)
+    v = 50 * np.exp(np.r_[rng.normal(0, 0.6, 1000), rng.normal(0, 0.02, 300), rng.normal(0, 0.6, 700)])
+    v[1150] *= np.exp(1.3)
+    assert spikes.spike_mask(v[1000:1300])[150]
+    monkeypatch.setattr(spikes, "CHUNK", 250)
+    monkeypatch.setattr(spikes, "HALO", 20)
+    assert 1150 not in found(spark, series(v))
+
+
+def test_planted_spikes_of_many_series(spark):
+    """Recall and precision at least 0.99 over 300 series with 3 spikes each."""
+    rng, rows, planted = np.random.default_rng(3), [], set()
+    for s in range(300):
+        v = walk(200, seed=s)
+        for at in (30, 90, 150):
+            length, sign = int(rng.integers(1, 4)), rng.choice([-1, 1])
+            v[at : at + length] *= np.exp(sign * rng.uniform(1.4, 3.0, length))
+            planted |= {s * 1000 + i for i in range(at, at + length)}
+        rows += series(v, str(s), first=s * 1000)
+    got = set(found(spark, rows))
+    assert len(got & planted) >= 0.99 * len(planted)
+    assert len(got & planted) >= 0.99 * len(got)
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 5])
 def test_short_series(n):
     v = np.full(n, 3.0)
