@@ -14,6 +14,8 @@ from millrace.sources.scratch import Written, write_cut
 
 #: Rounds grow with the logarithm of a component's size; more than this means a fault.
 ROUND_LIMIT = 200
+#: Settled components are looked for in every so many rounds of hash-to-min, by two states in a row.
+SETTLE = 3
 
 
 def hash_to_min(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -22,7 +24,9 @@ def hash_to_min(pairs: DataFrame, a: str, b: str) -> DataFrame:
     Every vertex v holds a cluster set C(v), kept as rows (v, u). In a round v sends C(v) to
     its smallest member m and {m} to every member of C(v); received sets are united. The
     state is stable when a round reproduces it; then the smallest record of a component
-    holds all its records and every other record holds the smallest one.
+    holds all its records and every other record holds the smallest one. Components that are
+    so already (see _whole_clusters) are laid aside every few rounds, so that a long chain
+    does not carry all others through its rounds.
 
     pairs: one row per match; a, b: its two integer columns. Rows with a null id and pairs
     of a record with itself link nothing; repeats and either order are one link. Other
@@ -35,10 +39,31 @@ def hash_to_min(pairs: DataFrame, a: str, b: str) -> DataFrame:
     both = ends.select(F.expr("inline(array(struct(x AS v, y AS u), struct(y AS v, x AS u)))"))
     stamp = {"n": "count(*)", "h": "bit_xor(xxhash64(v, u))"}
     state = write_cut(both, "h2m", **stamp)
-    for _ in range(ROUND_LIMIT):
+    settled: list[DataFrame] = []
+    before: Written | None = None
+    for turn in range(ROUND_LIMIT):
+        if not state.seen["n"]:
+            break
         rows = state.df
-        lows = rows.groupBy("v").agg(F.min("u").alias("low"))
-        sent = rows.join(lows, "v").withColumn("m", F.least("v", "low"))
+        sets = rows.groupBy("v").agg(F.min("u").alias("low"), F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(u))").alias("mark"))
+        tables = []
+        if turn >= SETTLE and turn % SETTLE < 2:
+            tables.append(write_cut(sets, "sets"))
+            sets = tables[0].df
+            whole = write_cut(_whole_clusters(sets), "whole")
+            if before is None:
+                before = whole
+            else:
+                tables += [before, whole]
+                still = write_cut(whole.df.join(before.df, ["low", "n", "mark"], "left_semi").select(F.col("low").alias("g")), "settled", n="count(*)")
+                before = None
+                tables.append(still)
+                if still.seen["n"]:
+                    members = sets.filter("low < v").select(F.col("low").alias("g"), F.col("v").alias("member")).join(still.df, "g")
+                    settled.append(write_cut(members.unionByName(still.df.withColumn("member", F.col("g"))), "members").df)
+                    sets = sets.withColumn("g", F.least("v", "low")).join(still.df, "g", "left_anti")
+        # rows of settled records find no partner here
+        sent = rows.join(sets.select("v", "low"), "v").withColumn("m", F.least("v", "low"))
         # C(v) also holds v itself: that part goes out once, with the row of the lowest member.
         out = sent.select(
             F.expr(
@@ -48,14 +73,36 @@ def hash_to_min(pairs: DataFrame, a: str, b: str) -> DataFrame:
         )
         nxt = write_cut(out.filter("v <> u").distinct(), "h2m", **stamp)
         stable = nxt.seen == state.seen
-        state.drop()
+        for t in [state, *tables]:
+            t.drop()
         state = nxt
         if stable:
             break
     else:
         raise RuntimeError("hash-to-min did not settle")
     least = state.df.groupBy("v").agg(F.min("u").alias("low"))
-    return least.select(F.least("v", "low").alias("group_id"), F.col("v").alias("member"))
+    out = least.select(F.least("v", "low").alias("g"), F.col("v").alias("member"))
+    for part in settled:
+        out = out.unionByName(part)
+    return out.select(F.col("g").alias("group_id"), "member")
+
+
+def _whole_clusters(sets: DataFrame) -> DataFrame:
+    """(low, n, mark) of the clusters that look complete, from (v, low, n, mark): the smallest member of C(v), its size and hash.
+
+    The smallest record holds n others, each of which holds nothing but it, and nobody else
+    does. Found so in two successive states, unchanged, a cluster is a whole component: had a
+    record outside held one of its records, that one would have got another minimum meanwhile.
+    """
+    leaf, root = (F.col("low") < F.col("v")) & (F.col("n") == 1), F.col("low") > F.col("v")
+    by = sets.groupBy(F.least("v", "low").alias("g")).agg(
+        F.count_if(leaf).alias("leaves"),
+        F.bit_xor(F.when(leaf, F.xxhash64("v"))).alias("leaf_mark"),
+        F.max(F.when(root, F.col("n"))).alias("n"),
+        F.max(F.when(root, F.col("mark"))).alias("mark"),
+        F.bool_or(~leaf & ~root).alias("open"),
+    )
+    return by.filter("NOT open AND leaves = n AND leaf_mark = mark").select(F.col("g").alias("low"), "n", "mark")
 
 
 def _jump(parents: Written) -> Written:
