@@ -62,8 +62,8 @@ def hash_to_min(pairs: DataFrame, a: str, b: str) -> DataFrame:
                     members = sets.filter("low < v").select(F.col("low").alias("g"), F.col("v").alias("member")).join(still.df, "g")
                     settled.append(write_cut(members.unionByName(still.df.withColumn("member", F.col("g"))), "members").df)
                     sets = sets.withColumn("g", F.least("v", "low")).join(still.df, "g", "left_anti")
-        # rows of settled records find no partner here
-        sent = rows.join(sets.select("v", "low"), "v").withColumn("m", F.least("v", "low"))
+        # rows of settled records find no partner here; hashing one short row a record saves sorting both sides
+        sent = rows.join(sets.select("v", "low").hint("shuffle_hash"), "v").withColumn("m", F.least("v", "low"))
         # C(v) also holds v itself: that part goes out once, with the row of the lowest member.
         out = sent.select(
             F.expr(
