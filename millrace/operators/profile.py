@@ -22,7 +22,12 @@ CLEAR_DISTINCT = 0.25
 NEARLY_UNIQUE = 0.9
 #: A mask is rare in its column below this share of the bulk.
 RARE = 0.005
-NUMERIC = (T.DoubleType, T.FloatType, T.IntegerType, T.LongType, T.ShortType, T.ByteType, T.DecimalType)
+#: Texts beyond so many characters are masked before they are counted.
+LONG_TEXT = 64
+REAL, WHOLE = (T.DoubleType, T.FloatType, T.DecimalType), (T.IntegerType, T.LongType, T.ShortType, T.ByteType)
+VALUE, NULL, NAN = 0, 1, 2
+#: Masks of numbers: sign and number of decimals, or 9E9 for very large and very small ones.
+NUMBER_MASKS = [sign + body for sign in ("", "-") for body in ("9.", "9.9", "9.99", "9.999", "9.9999", "9E9")]
 
 
 def text_mask(x: Column) -> Column:
@@ -43,100 +48,170 @@ def text_mask(x: Column) -> Column:
 
 
 def number_mask(x: Column) -> Column:
-    """Sign and number of decimals (0 to 3, or 4 for more) of a number; 9E9 for very large and very small ones."""
+    """Place in NUMBER_MASKS: sign and number of decimals (0 to 3, or 4 for more) of a number, or its very large or small size."""
     size = F.abs(x)
-    body = F.when((size >= 1e7) | ((size > 0) & (size < 1e-3)), "9E9")
+    body = F.when((size >= 1e7) | ((size > 0) & (size < 1e-3)), 5)
     for k in range(4):
         scaled = size * F.lit(10.0**k)
-        body = body.when(F.abs(scaled - F.rint(scaled)) <= F.lit(1e-9) * (scaled + 1), "9." + "9" * k)
-    return F.concat(F.when(x < 0, "-").otherwise(""), body.otherwise("9.9999"))
+        body = body.when(F.abs(scaled - F.rint(scaled)) <= F.lit(1e-9) * (scaled + 1), k)
+    return body.otherwise(4) + F.when(x < 0, 6).otherwise(0)
+
+
+def _mask_name(number: Column) -> Column:
+    return F.get(F.array(*[F.lit(m) for m in NUMBER_MASKS]), number)
 
 
 def _columns(df: DataFrame, load: str, skip: tuple[str, ...]) -> list[T.StructField]:
     return [f for f in df.schema.fields if f.name != load and f.name not in skip]
 
 
+def _real(f: T.StructField) -> bool:
+    return isinstance(f.dataType, REAL)
+
+
 def _as_number(f: T.StructField) -> Column | None:
+    """A real column as double without NaN, whole numbers, flags, dates and times as long; None for texts."""
     c = F.col(f"`{f.name}`")
     if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
         return F.when(~F.isnan(c), c.cast("double"))
-    if isinstance(f.dataType, NUMERIC) or isinstance(f.dataType, T.BooleanType):
-        return c.cast("double") if not isinstance(f.dataType, T.BooleanType) else c.cast("int").cast("double")
+    if isinstance(f.dataType, T.DecimalType):
+        return c.cast("double")
+    if isinstance(f.dataType, WHOLE):
+        return c.cast("long")
+    if isinstance(f.dataType, T.BooleanType):
+        return c.cast("int").cast("long")
     if isinstance(f.dataType, T.DateType):
-        return F.unix_date(c).cast("double")
+        return F.unix_date(c).cast("long")
     if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(c.cast("timestamp")) / F.lit(1e6)
+        return F.unix_micros(c.cast("timestamp"))
     return None
 
 
-def _edges(df: DataFrame, load: str, fields: list[T.StructField]) -> dict[str, list[float]]:
+def _as_text(f: T.StructField, number: Column) -> Column:
+    """A whole value as the text of its own type."""
+    if isinstance(f.dataType, T.BooleanType):
+        number = number.cast("boolean")
+    elif isinstance(f.dataType, T.DateType):
+        number = F.date_from_unix_date(number.cast("int"))
+    elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
+        number = F.timestamp_micros(number)
+    return number.cast("string")
+
+
+def _summaries(df: DataFrame, load: str, fields: list[T.StructField]) -> DataFrame:
+    """One row a load: quantiles of number-like columns (q), extremes and estimated distinct values of real ones, extremes of texts."""
+    wanted = []
+    for i, f in enumerate(fields):
+        number = _as_number(f)
+        if number is not None:
+            wanted.append(F.percentile_approx(number.cast("double"), CUTS, 2000).alias(f"q{i}"))
+        if number is None or _real(f):
+            shown = F.col(f"`{f.name}`").cast("string") if number is None else number
+            wanted += [F.min(shown).alias(f"low{i}"), F.max(shown).alias(f"high{i}")]
+        if _real(f):
+            wanted.append(F.approx_count_distinct(number, 0.02).alias(f"kinds{i}"))
+    return df.groupBy(F.col(load).alias("load")).agg(F.count(F.lit(1)).alias("rows"), *wanted)
+
+
+def _edges(summaries: DataFrame, fields: list[T.StructField]) -> dict[int, list[float]]:
     """Bin edges of number-like columns: medians over the loads of the loads' quantiles.
 
     To the driver: len(CUTS) numbers a column.
     """
-    numbers = {f.name: n for f in fields if (n := _as_number(f)) is not None}
+    numbers = [i for i, f in enumerate(fields) if _as_number(f) is not None]
     if not numbers:
         return {}
-    per = df.groupBy(load).agg(*[F.percentile_approx(n, CUTS, 2000).alias(f"q{i}") for i, n in enumerate(numbers.values())])
-    mid = per.agg(*[F.array(*[F.median(F.col(f"q{i}")[k]) for k in range(len(CUTS))]).alias(f"q{i}") for i in range(len(numbers))]).first()
-    return {name: sorted({x for x in (mid[f"q{i}"] or []) if x is not None}) for i, name in enumerate(numbers)}
+    mid = summaries.agg(*[F.array(*[F.median(F.col(f"q{i}")[k]) for k in range(len(CUTS))]).alias(f"q{i}") for i in numbers]).first()
+    return {i: sorted({x for x in (mid[f"q{i}"] or []) if x is not None}) for i in numbers}
 
 
-def _tokens(f: T.StructField, edges: dict[str, list[float]]) -> list[tuple[str, Column]]:
-    """The aspects of a value: (aspect, token); a null token has no say in the aspect."""
-    c = F.col(f"`{f.name}`")
-    number = _as_number(f)
-    state = F.when(c.isNull(), "null")
-    if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-        state = state.when(F.isnan(c), "nan")
-    aspects = [("presence", state.otherwise("value"))]
-    if number is not None:
-        bound = F.lit(0)
-        for e in edges.get(f.name, []):
-            bound = bound + (number > F.lit(e)).cast("int")
-        aspects.append(("values", F.when(number.isNotNull(), bound.cast("string"))))
-        if isinstance(f.dataType, NUMERIC):
-            aspects.append(("masks", F.when(number.isNotNull(), number_mask(number))))
-    else:
-        text = c.cast("string")
-        aspects.append(("values", F.when(text.isNotNull(), F.pmod(F.xxhash64(text), F.lit(VALUE_BUCKETS)).cast("string"))))
-        aspects.append(("masks", text_mask(text)))
-    return aspects
+def _bin(number: Column, edges: list[float]) -> Column:
+    out = F.lit(0)
+    for e in edges:
+        out = out + (number > F.lit(e)).cast("int")
+    return out
 
 
-def token_counts(df: DataFrame, load: str = "load_no", skip: tuple[str, ...] = ("received_at",)) -> DataFrame:
-    """(load, column_name, aspect, token, n): every column's tokens, counted before the shuffle."""
-    fields = _columns(df, load, skip)
-    edges = _edges(df.filter(F.col(load).isNotNull()), load, fields)
-    parts = [
-        F.struct(F.lit(f.name).alias("column_name"), F.lit(aspect).alias("aspect"), token.alias("token"))
-        for f in fields
-        for aspect, token in _tokens(f, edges)
-    ]
-    rows = df.filter(F.col(load).isNotNull()).select(F.col(load).alias("load"), F.inline(F.array(*parts)))
-    return rows.filter("token IS NOT NULL").groupBy("load", "column_name", "aspect", "token").agg(F.count(F.lit(1)).alias("n"))
+def value_counts(df: DataFrame, load: str, fields: list[T.StructField], edges: dict[int, list[float]]) -> DataFrame:
+    """(load, c, state, bin, mask, whole, text, hash, n): the values of every column, counted before the shuffle.
+
+    Column number c has real values by bin and mask number, whole ones and texts by the value
+    itself, so that masks of texts are formed once a distinct value. Texts beyond LONG_TEXT
+    characters hardly repeat: they are counted by mask (text) and hash.
+    """
+    rows = None
+    for i, f in enumerate(fields):
+        c, number = F.col(f"`{f.name}`"), _as_number(f)
+        state = F.when(c.isNull(), NULL)
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            state = state.when(F.isnan(c), NAN)
+        real = number if number is not None and _real(f) else None
+        text = c.cast("string")
+        long = F.length(text) > LONG_TEXT
+        cells = {
+            "bin": (F.when(real.isNotNull(), _bin(real, edges[i])) if real is not None else F.lit(None)).cast("int"),
+            "mask": (F.when(real.isNotNull(), number_mask(real)) if real is not None else F.lit(None)).cast("int"),
+            "whole": (number if number is not None and real is None else F.lit(None)).cast("long"),
+            "text": (F.when(long, text_mask(text)).otherwise(text) if number is None else F.lit(None)).cast("string"),
+            "hash": (F.when(long, F.xxhash64(text)) if number is None else F.lit(None)).cast("long"),
+        }
+        # a scan of one column each: together they read no more, and code for all columns at once would be too long to compile
+        part = df.select(F.col(load).alias("load"), F.lit(i).alias("c"), state.otherwise(VALUE).alias("state"), *[v.alias(k) for k, v in cells.items()])
+        rows = part if rows is None else rows.unionAll(part)
+    return rows.groupBy("load", "c", "state", "bin", "mask", "whole", "text", "hash").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _by_column(column: Column, choices: dict[int, Column], kind: str) -> Column:
+    out = F.lit(None).cast(kind)
+    for i, c in choices.items():
+        out = F.when(column == i, c.cast(kind)).otherwise(out)
+    return out
+
+
+def token_counts(values: DataFrame, fields: list[T.StructField], edges: dict[int, list[float]]) -> DataFrame:
+    """(load, c, aspect, token, n): presence, masks and values of every column, from its distinct values."""
+    c, whole = F.col("c"), F.col("whole")
+    numbers = {i: _as_number(f) for i, f in enumerate(fields)}
+    bounds = {i: F.array(*[F.lit(e) for e in edges[i]]) for i, f in enumerate(fields) if numbers[i] is not None and not _real(f)}
+    bins = F.size(F.filter(_by_column(c, bounds, "array<double>"), lambda e: e < whole))
+    bucket = F.pmod(F.coalesce("hash", F.xxhash64("text")), F.lit(VALUE_BUCKETS))
+    value = F.when(F.col("text").isNotNull(), bucket).when(whole.isNotNull(), bins).otherwise(F.col("bin"))
+    masked = c.isin([i for i, f in enumerate(fields) if isinstance(f.dataType, WHOLE)])
+    mask = F.when(F.col("hash").isNotNull(), F.col("text")).when(F.col("text").isNotNull(), text_mask(F.col("text")))
+    mask = mask.when(whole.isNotNull() & masked, _mask_name(number_mask(whole.cast("double")))).otherwise(_mask_name(F.col("mask")))
+    aspects = {"presence": F.col("state").cast("string"), "values": value.cast("string"), "masks": mask}
+    parts = [F.struct(F.lit(a).alias("aspect"), t.alias("token")) for a, t in aspects.items()]
+    rows = values.select("load", "c", "n", F.inline(F.array(*parts))).filter("token IS NOT NULL")
+    return rows.groupBy("load", "c", "aspect", "token").agg(F.sum("n").alias("n"))
+
+
+def shares(counts: DataFrame) -> DataFrame:
+    """(load, c, aspect, token, n, total, p, q, k): the share of a token in its load (p) and in the bulk of the loads (q).
+
+    The bulk's share is the median of the loads' shares (0 where a load lacks the token),
+    scaled to sum 1; loads that are themselves odd hardly move it. k tokens have a share in
+    the bulk. Sums by column are grouped and joined, so a column with a token for every row is never in one task.
+    """
+    each = ["c", "aspect"]
+    totals = counts.groupBy("load", *each).agg(F.sum("n").alias("total"))
+    own = counts.join(totals, ["load", *each]).withColumn("p", F.col("n") / F.col("total"))
+    loads = totals.groupBy(*each).agg(F.count(F.lit(1)).alias("loads"))
+    bulk = own.groupBy(*each, "token").agg(F.sort_array(F.collect_list("p")).alias("ps")).join(loads, each)
+    at = F.ceil(F.col("loads") / 2) - (F.col("loads") - F.size("ps"))
+    bulk = bulk.select(*each, "token", F.when(at > 0, F.get("ps", at.cast("int") - 1)).otherwise(0.0).alias("median"))
+    whole = bulk.groupBy(*each).agg(F.sum("median").alias("whole"), F.count_if(F.col("median") > 0).alias("k"))
+    bulk = bulk.join(whole, each).withColumn("q", F.when(F.col("whole") > 0, F.col("median") / F.col("whole")).otherwise(0.0))
+    return own.join(bulk.select(*each, "token", "q", "k"), [*each, "token"])
 
 
 def divergences(counts: DataFrame) -> DataFrame:
-    """(load, column_name, aspect, n, k, divergence, rare): each load against the bulk of the loads.
+    """(load, c, aspect, n, k, divergence, rare): each load against the bulk of the loads.
 
-    The bulk's share of a token is the median of the loads' shares (0 where a load lacks it),
-    scaled to sum 1; loads that are themselves odd hardly move it. rare: share of the load's
-    values whose token is rare in the bulk. All tables here are aggregates by load and token.
+    rare: share of the load's values whose token is rare in the bulk.
     """
-    shares = counts.withColumn("total", F.sum("n").over(Window.partitionBy("load", "column_name", "aspect")))
-    shares = shares.withColumn("p", F.col("n") / F.col("total"))
-    loads = shares.groupBy("column_name", "aspect").agg(F.countDistinct("load").alias("loads"))
-    bulk = shares.groupBy("column_name", "aspect", "token").agg(F.sort_array(F.collect_list("p")).alias("ps")).join(loads, ["column_name", "aspect"])
-    at = F.ceil(F.col("loads") / 2) - (F.col("loads") - F.size("ps"))
-    bulk = bulk.withColumn("q", F.when(at > 0, F.get("ps", at.cast("int") - 1)).otherwise(0.0))
-    each = Window.partitionBy("column_name", "aspect")
-    bulk = bulk.withColumn("whole", F.sum("q").over(each)).withColumn("k", F.count_if(F.col("q") > 0).over(each))
-    bulk = bulk.withColumn("q", F.when(F.col("whole") > 0, F.col("q") / F.col("whole")).otherwise(0.0))
-    joined = shares.join(bulk.select("column_name", "aspect", "token", "q", "k"), ["column_name", "aspect", "token"])
     m = (F.col("p") + F.col("q")) / 2
     part = F.col("p") * F.log2(F.col("p") / m) + F.when(F.col("q") > 0, F.col("q") * F.log2(F.col("q") / m)).otherwise(0.0)
-    return joined.groupBy("load", "column_name", "aspect").agg(
+    return shares(counts).groupBy("load", "c", "aspect").agg(
         F.max("total").alias("n"),
         F.max("k").alias("k"),
         (0.5 * F.sum(part) + 0.5 * (1 - F.sum("q"))).alias("divergence"),
@@ -173,11 +248,12 @@ def column_profile(df: DataFrame, load: str = "load_no", skip: tuple[str, ...] =
     presence_divergence, changed).
     """
     fields = _columns(df, load, skip)
-    # a small table that many steps read: written once, it keeps the plans after it short
-    counts = write_cut(token_counts(df, load, skip), "profile").df
+    if not fields:
+        raise ValueError("no column to profile")
+    summaries, values, counts = _counted(df, load, fields)
     div = divergences(counts).withColumn("over", F.col("divergence") > F.lit(CLEAR) + _chance(F.col("n"), F.col("k")))
     pick = lambda aspect, c: F.max(F.when(F.col("aspect") == aspect, F.col(c)))
-    judged = div.groupBy("load", "column_name").agg(
+    judged = div.groupBy("load", "c").agg(
         pick("masks", "divergence").alias("mask_divergence"),
         pick("masks", "rare").alias("rare_mask_rate"),
         pick("values", "divergence").alias("value_divergence"),
@@ -185,26 +261,28 @@ def column_profile(df: DataFrame, load: str = "load_no", skip: tuple[str, ...] =
         pick("presence", "divergence").alias("presence_divergence"),
         F.max("over").alias("over"),
     )
-    state = counts.filter("aspect = 'presence'").groupBy("load", "column_name").agg(
+    state = values.groupBy("load", "c").agg(
         F.sum("n").alias("n_rows"),
-        F.sum(F.when(F.col("token") == "null", F.col("n")).otherwise(0)).alias("nulls"),
-        F.sum(F.when(F.col("token") == "nan", F.col("n")).otherwise(0)).alias("nans"),
+        F.sum(F.when(F.col("state") == NULL, F.col("n")).otherwise(0)).alias("nulls"),
+        F.sum(F.when(F.col("state") == NAN, F.col("n")).otherwise(0)).alias("nans"),
+        F.count_if(F.col("state") == VALUE).alias("exact"),
+        F.min("whole").alias("low"),
+        F.max("whole").alias("high"),
     )
-    masks = counts.filter("aspect = 'masks'").groupBy("load", "column_name").agg(F.max_by("token", F.struct("n", "token")).alias("top_mask"))
-    stats = []
-    for f in fields:
-        c = F.col(f"`{f.name}`")
-        shown = F.when(~F.isnan(c), c) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else c
-        stats.append(
-            F.struct(
-                F.lit(f.name).alias("column_name"),
-                F.approx_count_distinct(shown, 0.02).alias("n_distinct"),
-                F.min(shown).cast("string").alias("min_value"),
-                F.max(shown).cast("string").alias("max_value"),
-            )
+    masks = counts.filter("aspect = 'masks'").groupBy("load", "c").agg(F.max_by("token", F.struct("n", "token")).alias("top_mask"))
+    ends = [
+        F.struct(
+            F.lit(i).alias("c"),
+            F.lit(f.name).alias("column_name"),
+            (F.col(f"kinds{i}") if _real(f) else F.lit(None).cast("long")).alias("estimate"),
+            *[(F.col(f"{end}{i}").cast("string") if _real(f) or _as_number(f) is None else F.lit(None).cast("string")).alias(f"{end}_text") for end in ("low", "high")],
         )
-    ranges = df.filter(F.col(load).isNotNull()).groupBy(F.col(load).alias("load")).agg(F.array(*stats).alias("s")).select("load", F.inline("s"))
-    out = ranges.join(state, ["load", "column_name"]).join(masks, ["load", "column_name"], "left").join(judged, ["load", "column_name"], "left")
+        for i, f in enumerate(fields)
+    ]
+    out = summaries.select("load", F.inline(F.array(*ends))).join(state, ["load", "c"]).join(masks, ["load", "c"], "left").join(judged, ["load", "c"], "left")
+    whole = {i: f for i, f in enumerate(fields) if _as_number(f) is not None and not _real(f)}
+    extreme = lambda end: F.coalesce(f"{end}_text", _by_column(F.col("c"), {i: _as_text(f, F.col(end)) for i, f in whole.items()}, "string"))
+    out = out.withColumns({"n_distinct": F.coalesce("estimate", "exact"), "min_value": extreme("low"), "max_value": extreme("high")})
     values = F.col("n_rows") - F.col("nulls") - F.col("nans")
     out = out.withColumn("unique", F.when(values > 0, F.log(F.col("n_distinct") / values)))
     each = Window.partitionBy("column_name")
@@ -242,6 +320,27 @@ def column_profile(df: DataFrame, load: str = "load_no", skip: tuple[str, ...] =
     )
 
 
+def _counted(df: DataFrame, load: str, fields: list[T.StructField]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(summaries of the loads, value counts, token counts); written once, small, and read by many steps."""
+    known = df.filter(F.col(load).isNotNull())
+    summaries = write_cut(_summaries(known, load, fields), "summaries").df
+    edges = _edges(summaries, fields)
+    values = write_cut(value_counts(known, load, fields, edges), "values").df
+    return summaries, values, write_cut(token_counts(values, fields, edges), "profile").df
+
+
+def rare_masks(df: DataFrame, load: str = "load_no", skip: tuple[str, ...] = ("received_at",)) -> DataFrame:
+    """Pattern violations: (load_no, column_name, mask, n, share, usual_share), a row for each mask of a load that is rare in its column.
+
+    Rare is a mask that makes up less than RARE of the bulk of the loads; nulls and NaN have none.
+    Nulls, other columns and empty tables as in column_profile.
+    """
+    fields = _columns(df, load, skip)
+    found = shares(_counted(df, load, fields)[2].filter("aspect = 'masks'")).filter(F.col("q") < RARE)
+    name = F.get(F.array(*[F.lit(f.name) for f in fields]), F.col("c"))
+    return found.select(F.col("load").alias(load), name.alias("column_name"), F.col("token").alias("mask"), "n", F.col("p").alias("share"), F.col("q").alias("usual_share"))
+
+
 def changed_columns(df: DataFrame, load: str = "load_no", skip: tuple[str, ...] = ("received_at",)) -> DataFrame:
     """(load_no, column_name) of the columns that changed; see column_profile."""
     return column_profile(df, load, skip).filter("changed").select(load, "column_name")

@@ -41,7 +41,30 @@ def p5_profile(spark: SparkSession, folder: str) -> DataFrame:
     return profile.column_profile(table(spark, folder, "air_daily"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p4_found, p4_regular_series, p4_hours_per_day, p5_found, p5_profile)}
+def p5_rare_masks(spark: SparkSession, folder: str) -> DataFrame:
+    return profile.rare_masks(table(spark, folder, "air_daily"))
+
+
+def p5_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """The exact part of the profile: rows, rates of nulls and NaN, ranges, and distinct values of all but real columns."""
+    rows = profile.column_profile(table(spark, folder, "air_daily"))
+    real = F.col("column_name").isin("mean_ugm3", "value_ugm3")
+    number = real | (F.col("column_name") == "n_hours")
+    shown = [F.when(number, F.round(F.expr(f"try_cast({c} AS double)"), 6)).alias(f"{c[:3]}_number") for c in ("min_value", "max_value")]
+    texts = [F.when(~number, F.col(c)).alias(f"{c[:3]}_text") for c in ("min_value", "max_value")]
+    rates = [F.round(c, 9).alias(c) for c in ("null_rate", "nan_rate")]
+    return rows.select("load_no", "column_name", "n_rows", *rates, F.when(~real, F.col("n_distinct")).alias("n_distinct"), *shown, *texts)
+
+
+def p2_negative(spark: SparkSession, folder: str) -> DataFrame:
+    """The part of p2_found that a bound decides: negative readings."""
+    return spikes.implausible_readings(table(spark, folder, "air_hourly")).filter("kind = 'negative'").select("reading_id")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p2_found, p2_negative, p2_pairs, p4_found, p4_regular_series, p4_hours_per_day, p5_found, p5_profile, p5_rates, p5_rare_masks)
+}
 
 _USED = """
 used AS (
@@ -58,7 +81,26 @@ grid AS (
   FROM station_metadata WHERE active_from < active_to)
 """
 
+_REAL, _ODD = ("mean_ugm3", "value_ugm3"), ("n_hours",)
+_TEXTS = ("city", "station_id", "local_date", "parameter", "valid_day", "reference_station")
+
+
+def _rates_sql(c: str) -> str:
+    number = c in _REAL + _ODD
+    nan = f"isnan({c})" if c in _REAL else "false"
+    ends = {e: f"{e}({c}) FILTER (WHERE NOT {nan})" for e in ("min", "max")}
+    numbers = [f"round(CAST({ends[e]} AS DOUBLE), 6)" if number else "CAST(NULL AS DOUBLE)" for e in ends]
+    texts = ["CAST(NULL AS VARCHAR)" if number else f"CAST({ends[e]} AS VARCHAR)" for e in ends]
+    kinds = "CAST(NULL AS BIGINT)" if c in _REAL else f"count(DISTINCT {c})"
+    return f"""SELECT load_no, '{c}' AS column_name, count(*) AS n_rows, round(count(*) FILTER (WHERE {c} IS NULL) / count(*), 9) AS null_rate,
+      round(count(*) FILTER (WHERE {c} IS NOT NULL AND {nan}) / count(*), 9) AS nan_rate, {kinds} AS n_distinct,
+      {numbers[0]} AS min_number, {numbers[1]} AS max_number, {texts[0]} AS min_text, {texts[1]} AS max_text
+      FROM air_daily WHERE load_no IS NOT NULL GROUP BY load_no"""
+
+
 ORACLE = {
+    "p2_negative": "SELECT DISTINCT reading_id FROM air_hourly WHERE value_ugm3 < 0 AND NOT isinf(value_ugm3) AND reading_id IS NOT NULL",
+    "p5_rates": " UNION ALL ".join(_rates_sql(c) for c in _TEXTS[:4] + _ODD + _REAL + _TEXTS[4:]),
     "p2_pairs": "SELECT DISTINCT pair_id FROM air_pairs WHERE pm2_5 > 1.2 * pm10 AND NOT isnan(pm2_5) AND NOT isnan(pm10) AND pair_id IS NOT NULL",
     "p4_found": f"""
 WITH {_USED}

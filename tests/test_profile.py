@@ -69,6 +69,25 @@ def test_null_loads_empty_tables_null_columns_and_names(spark):
     assert not any(r["changed"] and r["n_rows"] < 3 and r["column_name"] == "token" for r in got.values())
 
 
+def test_rare_masks_are_reported_as_rows(spark):
+    rows = [x for no in range(1, 6) for x in load(no)]
+    rows += load(6, code=lambda v, r: "0110?" if r.random() < 0.02 else v)
+    got = {(r["load_no"], r["column_name"], r["mask"]): r for r in profile.rare_masks(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[6, "code", "o999?"]["usual_share"] == 0.0
+    assert got[6, "code", "o999?"]["n"] == sum(x[2] == "0110?" for x in rows)
+    assert not any(c == "code" and m != "o999?" for _, c, m in got)
+    assert profile.rare_masks(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_long_texts_are_counted_by_mask_and_hash(spark, monkeypatch):
+    rows = [x for no in range(1, 5) for x in load(no)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    columns = ["load_no", "column_name", "n_distinct", "top_mask", "min_value", "max_value", "mask_divergence", "value_divergence"]
+    short = sorted(map(tuple, profile.column_profile(df).select(columns).collect()))
+    monkeypatch.setattr(profile, "LONG_TEXT", 2)
+    assert sorted(map(tuple, profile.column_profile(df).select(columns).collect())) == short
+
+
 @pytest.mark.parametrize(
     ("text", "mask"), [("kgmt_110", "a_999"), ("0110", "o999"), ("Atyrau", "Aa"), ("Атырау 7", "w 9"), ("", ""), ("2020-01-31", "9999-o9-99"), ("123456", "99999")]
 )
@@ -78,4 +97,4 @@ def test_text_mask(spark, text, mask):
 
 @pytest.mark.parametrize(("number", "mask"), [(1.5, "9.9"), (-3.0, "-9."), (0.123456, "9.9999"), (1e300, "9E9")])
 def test_number_mask(spark, number, mask):
-    assert spark.range(1).select(profile.number_mask(F.lit(number))).first()[0] == mask
+    assert spark.range(1).select(profile._mask_name(profile.number_mask(F.lit(number)))).first()[0] == mask
