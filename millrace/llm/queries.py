@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import os
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from millrace.llm import leaks, packing, sentences, splits
 from millrace.llm.components import hash_to_min
@@ -10,6 +13,17 @@ from millrace.sources.tables import table
 
 #: Largest perceptual distance of a match.
 MATCH_DISTANCE = 6
+#: The public vocabulary that sizes are measured with: a file on every executor.
+VOCABULARY = os.environ.get("MILLRACE_VOCABULARY", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
+
+
+def split_pattern() -> str:
+    """The word pattern that goes with the public vocabularies; another vocabulary's may be named instead."""
+    if named := os.environ.get("MILLRACE_SPLIT_PATTERN"):
+        return named
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -26,12 +40,37 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select("group_id", groups["member"].alias("image_id"))
 
 
+def _packed(spark: SparkSession, folder: str, strict: bool = False) -> DataFrame:
+    return packing.pack_texts(table(spark, folder, "documents"), table(spark, folder, "container_sizes"), VOCABULARY, split_pattern(), strict=strict)
+
+
 def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.fill_containers(table(spark, folder, "documents"), table(spark, folder, "container_sizes"))
+    return _packed(spark, folder).drop("source", "cluster")
 
 
 def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.fill_report(p6_containers(spark, folder), table(spark, folder, "container_sizes"))
+    """Space used and conflicts, with sources held apart where it costs no container and as a hard rule."""
+    sizes = table(spark, folder, "container_sizes")
+    soft, hard = (packing.fill_report(_packed(spark, folder, strict), sizes).withColumn("strict", F.lit(strict)) for strict in (False, True))
+    return soft.unionByName(hard)
+
+
+def p6_faults(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packing_faults(_packed(spark, folder), table(spark, folder, "container_sizes"))
+
+
+def p1_faults(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of p1_splits: every object once, whole units, shares within one object in a thousand (and one) of the targets."""
+    targets = table(spark, folder, "split_targets")
+    dealt = splits.assign_splits(table(spark, folder, "vehicle_objects"), targets)
+    by_unit = dealt.groupBy("unit_object_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("object_id").alias("objects"), F.countDistinct("split_name").alias("splits"))
+    units = by_unit.agg(
+        F.count(F.lit(1)).alias("units"), F.sum("objects").alias("objects"), F.sum(F.col("n") - F.col("objects")).alias("repeats"), F.count_if(F.col("splits") > 1).alias("cut_units")
+    )
+    shares = dealt.groupBy("split_name").count().join(targets, "split_name", "full")
+    total = F.sum("count").over(Window.partitionBy())
+    shares = shares.select(F.abs(F.col("count") - F.col("share") * total).alias("off"), total.alias("total"))
+    return units.join(shares.agg(F.count_if(~F.coalesce(F.col("off") <= 1 + F.col("total") / 1000, F.lit(False))).alias("splits_off")))
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -43,10 +82,9 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.sentence_spans(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p3_found, p6_containers, p6_fill, p7_found, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_faults, p3_found, p6_containers, p6_fill, p6_faults, p7_found, p8_found)}
 
-ORACLE = {
-    "p1_found": """
+_UNITS = """
 WITH RECURSIVE rows_ AS (
   SELECT object_id AS o, image_id AS i, CASE WHEN scene_group > 0 THEN scene_group END AS s,
          CASE WHEN lower(trim(split)) = 'val' THEN 'validation' ELSE nullif(lower(trim(split)), '') END AS split
@@ -58,7 +96,17 @@ edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
 reach(node, low) AS (
   SELECT DISTINCT o, o FROM rows_
   UNION SELECT e.b, r.low FROM reach r JOIN edges e ON r.node = e.a WHERE r.low < e.b),
-units AS (SELECT node, min(low) AS unit FROM reach GROUP BY node)
+units AS (SELECT node, min(low) AS unit FROM reach GROUP BY node)"""
+
+ORACLE = {
+    "p1_faults": f"""{_UNITS},
+o AS (SELECT DISTINCT r.o, u.unit FROM rows_ r JOIN units u ON r.o = u.node)
+SELECT count(DISTINCT unit) AS units, count(*) AS objects, CAST(0 AS BIGINT) AS repeats, CAST(0 AS BIGINT) AS cut_units, CAST(0 AS BIGINT) AS splits_off FROM o""",
+    "p6_faults": """
+SELECT container_kind, (SELECT count(DISTINCT doc_id) FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '[^\\s\\p{Z}]')) AS n_docs,
+       CAST(0 AS BIGINT) AS over_capacity, CAST(0 AS BIGINT) AS copies, CAST(0 AS BIGINT) AS cut_wrongly
+FROM container_sizes""",
+    "p1_found": f"""{_UNITS}
 SELECT u.unit AS unit_object_id FROM rows_ r JOIN units u ON r.o = u.node
 GROUP BY u.unit HAVING count(DISTINCT r.split) > 1""",
     "p3_found": """

@@ -13,13 +13,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.components import hook_and_shortcut
+from millrace.sources.scratch import write_cut
 
 #: Node numbers of the three kinds lie apart: ids must be within +-2**60.
 KIND = 1 << 61
-#: Whole units of one size that the exact subset sum decides over; the rest of that size is dealt in proportion.
-EXACT_PER_SIZE = 4
-#: Bits of the subset-sum bitset; sizes are measured in a larger grain beyond it.
-MAX_BITS = 1 << 26
+#: Objects that the exact subset sums decide over; of larger tables the rest is dealt in proportion first.
+MAX_BITS = 1 << 22
+#: Units of each size that are left to the subset sums even then.
+LEAST_PER_SIZE = 4
 #: Units of one size are ranked in this many hash buckets per hundred thousand units.
 UNITS_PER_BUCKET = 100_000
 
@@ -77,23 +78,27 @@ def units_across_splits(rows: DataFrame, object_id="object_id", image_id="image_
 def closest_totals(sizes: dict[int, int], shares: list[float]) -> dict[int, list[int]]:
     """Deal units to splits: {size: [units for each split]}, given {size: number of units}.
 
-    Of each size all but EXACT_PER_SIZE units are dealt in proportion to the shares (rounded
-    down), less a part that leaves every split room for two units of the largest size; where
-    a unit is that large, nothing is dealt this way. The remaining units go split by split: a
-    subset-sum bitset over the sizes' multiplicities (in powers of two) holds every total that
-    can be reached, and the one closest to the split's target is taken (the smaller of two
-    equally close). The last split gets what is left. Shares are scaled to sum 1.
+    Up to MAX_BITS objects are dealt by subset sums alone. Of larger tables as many units of
+    each size as these can hold (LEAST_PER_SIZE at least) are kept for them, and the others
+    dealt in proportion to the shares (rounded down), less a part that leaves every split room
+    for two units of the largest size; where a unit is that large, nothing is dealt this way.
+    The units kept go split by split: a subset-sum bitset over the sizes' multiplicities (in
+    powers of two) holds every total that can be reached, and the one closest to the split's
+    target is taken (the smaller of two equally close). The last split gets what is left.
+    Shares are scaled to sum 1.
     """
     weights = [Fraction(s).limit_denominator(10**9) for s in shares]
     weights = [w / sum(weights) for w in weights]
     total = sum(s * m for s, m in sizes.items())
-    dealt = {s: [0] * len(weights) for s in sizes}
+    kept = dict(sizes)
+    if total > MAX_BITS:
+        per = LEAST_PER_SIZE
+        while sum(s * min(m, 2 * per) for s, m in sizes.items()) <= MAX_BITS:
+            per *= 2
+        kept = {s: min(m, per) for s, m in sizes.items()}
     ahead = max(Fraction(0), 1 - Fraction(2 * max(sizes, default=0)) / (min(weights) * total)) if total else Fraction(0)
-    rest: dict[int, int] = {}
-    for s, m in sizes.items():
-        if (spare := m - EXACT_PER_SIZE) > 0:
-            dealt[s] = [int(ahead * spare * w) for w in weights]
-        rest[s] = m - sum(dealt[s])
+    dealt = {s: [int(ahead * (m - kept[s]) * w) for w in weights] for s, m in sizes.items()}
+    rest = {s: m - sum(dealt[s]) for s, m in sizes.items()}
     order = sorted(range(len(weights)), key=lambda i: (weights[i], -i))
     for i in order[:-1]:
         want = weights[i] * total - sum(s * d[i] for s, d in dealt.items())
@@ -106,33 +111,64 @@ def closest_totals(sizes: dict[int, int], shares: list[float]) -> dict[int, list
 
 
 def _subset(rest: dict[int, int], want: Fraction) -> dict[int, int]:
-    """Units of each size whose total is closest to want."""
-    whole = sum(s * m for s, m in rest.items())
-    if want <= 0 or not whole:
+    """Units of each size whose total is closest to want.
+
+    Where want has more than MAX_BITS objects, a first pass in a larger grain stays below it
+    by at most what its rounding can amount to, and the units it leaves fill the gap exactly.
+    """
+    if want <= 0 or not any(rest.values()):
         return {}
-    grain = max(1, -(-whole // MAX_BITS))
+    taken: dict[int, int] = {}
+    while want > MAX_BITS:
+        grain = -(-int(want) // MAX_BITS) * 4
+        got = _reach({s: m for s, m in rest.items() if s >= grain}, want, grain)
+        part = sum(s * k for s, k in got.items())
+        if not part or part > want:
+            break
+        taken = {s: taken.get(s, 0) + got.get(s, 0) for s in taken | got}
+        rest = {s: m - got.get(s, 0) for s, m in rest.items()}
+        want -= part
+    if want > MAX_BITS:  # small units without number: all but the last MAX_BITS objects are taken largest first
+        for s in sorted(rest, reverse=True):
+            k = min(rest[s], max(0, int((want - MAX_BITS // 2) // s)))
+            taken[s], rest, want = taken.get(s, 0) + k, rest | {s: rest[s] - k}, want - s * k
+    for s, k in _reach(rest, want, 1).items():
+        taken[s] = taken.get(s, 0) + k
+    return {s: k for s, k in taken.items() if k}
+
+
+def _reach(rest: dict[int, int], want: Fraction, grain: int) -> dict[int, int]:
+    """Units whose total, with sizes rounded up to whole grains, is closest to want (for a grain above 1, closest from below)."""
+    # a unit above twice the target is worse than none
+    rest = {s: m for s, m in rest.items() if s <= 2 * want}
+    top = int(want / grain) + max((-(-s // grain) for s, m in rest.items() if m), default=0) + 1
     items: list[tuple[int, int, int]] = []  # (size, count, grains)
     for s in sorted(rest, reverse=True):
-        left, k = rest[s], 1
-        while left:
+        each = -(-s // grain)
+        left, k = min(rest[s], top // each), 1
+        while left > 0:
             k = min(k, left)
-            items.append((s, k, max(1, round(s * k / grain))))
+            items.append((s, k, each * k))
             left, k = left - k, k * 2
-    bits, top = 1, sum(g for _, _, g in items)
+    top = min(top, sum(g for _, _, g in items))
+    bits, mask = 1, (1 << (top + 1)) - 1
     first = np.full(top + 1, -1, np.int32)
     for n, (_, _, g) in enumerate(items):
-        new = (bits << g) & ~bits
+        new = (bits << g) & mask & ~bits
         raw = np.frombuffer(new.to_bytes(top // 8 + 1, "little"), np.uint8)
         spots = np.flatnonzero(raw)
-        found = np.unpackbits(raw[spots, None], axis=1, bitorder="little").astype(bool)
-        first[(spots[:, None] * 8 + np.arange(8))[found]] = n
+        for some in np.array_split(spots, len(spots) // 100_000 + 1):
+            found = np.unpackbits(raw[some, None], axis=1, bitorder="little").astype(bool)
+            first[(some[:, None] * 8 + np.arange(8))[found]] = n
         bits |= new
     aim = want / grain
-    reach = np.flatnonzero(first >= 0)
-    reach = np.concatenate([[0], reach])
-    at = int(np.searchsorted(reach, float(aim)))
-    near = [int(x) for x in reach[max(0, at - 1) : at + 2]]
-    sum_ = min(near, key=lambda x: (abs(x - aim), x))
+    at = low = min(int(aim), top)
+    while low and first[low] < 0:
+        low -= 1
+    high = at + 1
+    while high <= top and first[high] < 0:
+        high += 1
+    sum_ = high if grain == 1 and high <= top and high - aim < aim - low else low
     taken: dict[int, int] = {}
     while sum_:
         s, k, g = items[first[sum_]]
@@ -159,8 +195,9 @@ def assign_splits(
     if not wanted:
         raise ValueError("targets has no split with a positive share")
     anchored, edges = _objects(rows, object_id, image_id, scene, None)
-    anchors = _unit_table(anchored, edges).select("anchor", "root", "n", "o").persist()
-    units = anchors.groupBy("root").agg(F.min("o").alias("unit_object_id"), F.sum("n").alias("size")).persist()
+    # written once: read by the histogram, the ranks and the result
+    anchors = write_cut(_unit_table(anchored, edges).select("anchor", "root", "n", "o"), "anchors").df
+    units = write_cut(anchors.groupBy("root").agg(F.min("o").alias("unit_object_id"), F.sum("n").alias("size")), "units").df
     hist = {r["size"]: r["count"] for r in units.groupBy("size").count().collect()}
     dealt = closest_totals(hist, [w for _, w in wanted])
     marks = [

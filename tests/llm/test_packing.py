@@ -1,7 +1,17 @@
 import random
 from collections import defaultdict
 
-from millrace.llm.packing import best_fit, fill_containers, fill_report, text_sizes
+from millrace.llm import packing
+from millrace.llm.packing import best_fit, fill_report
+from millrace.llm.queries import VOCABULARY, split_pattern
+
+
+def fill_containers(docs, kinds, **more):
+    return packing.fill_containers(docs, kinds, VOCABULARY, split_pattern(), **more)
+
+
+def pack_texts(docs, kinds, **more):
+    return packing.pack_texts(docs, kinds, VOCABULARY, split_pattern(), **more)
 
 
 def frames(spark, texts, kinds=(("short", 16), ("long", 64))):
@@ -18,7 +28,7 @@ def test_whole_texts_in_full_containers(spark):
     texts = [(i, f"s{i % 9}", words(4 + i % 12, i)) for i in range(400)]
     texts += [(900, "s1", words(200, 1)), (901, None, None), (902, "s1", ""), (903, "s2", " \n\t "), (None, "s1", "lost"), (904, None, "alone")]
     docs, kinds = frames(spark, texts)
-    sizes = {r["doc_id"]: r["n_tokens"] for r in text_sizes(docs).collect()}
+    sizes = {r["doc_id"]: r["n_tokens"] for r in packing.text_sizes(docs, VOCABULARY, split_pattern()).collect()}
     rows = fill_containers(docs, kinds).collect()
     for kind, capacity in (("short", 16), ("long", 64)):
         mine = [r for r in rows if r["container_kind"] == kind]
@@ -34,7 +44,7 @@ def test_whole_texts_in_full_containers(spark):
             assert [r["first_token"] for r in parts] == [sum(p["n_tokens"] for p in parts[:k]) for k in range(len(parts))]
             assert len(parts) == 1 or sizes[d] > capacity
         assert sum(by_box.values()) / (capacity * len(by_box)) > 0.9
-    assert {r["container_kind"]: r["containers"] for r in fill_report(fill_containers(docs, kinds), kinds).collect()}.keys() == {"short", "long"}
+    assert {r["container_kind"]: r["containers"] for r in fill_report(pack_texts(docs, kinds), kinds).collect()}.keys() == {"short", "long"}
 
 
 def test_copies_never_share_a_container(spark):
@@ -64,6 +74,18 @@ def test_sources_are_held_apart_where_it_costs_nothing():
     assert all(where.count(b) == 2 for b in set(where))
 
 
+def test_sources_as_a_hard_rule(spark):
+    texts = [(i, f"s{i % 5}", words(4 + i % 12, i)) for i in range(300)] + [(900, "s1", words(200, 1)), (901, None, words(3, 2)), (902, None, words(3, 3))]
+    docs, kinds = frames(spark, texts)
+    hard, soft = ({r["container_kind"]: r for r in fill_report(pack_texts(docs, kinds, strict=strict), kinds).collect()} for strict in (True, False))
+    assert all(r["source_twice"] == 0 and r["copies"] == 0 for r in hard.values())
+    assert soft["long"]["source_twice"] > 0
+    assert soft["long"]["containers"] < hard["long"]["containers"]
+    for strict in (True, False):
+        for r in packing.packing_faults(pack_texts(docs, kinds, strict=strict), kinds).collect():
+            assert tuple(r)[1:] == (303, 0, 0, 0)
+
+
 def test_empty(spark):
     docs, kinds = frames(spark, [])
     assert fill_containers(docs, kinds).count() == 0

@@ -2,6 +2,7 @@ from collections import defaultdict
 
 import pytest
 
+from millrace.llm import splits
 from millrace.llm.splits import assign_splits, closest_totals, units_across_splits
 
 SCHEMA = "object_id long, image_id long, scene_group long, split string, node long, root long, size int"
@@ -84,3 +85,20 @@ def test_subset_is_optimal_against_brute_force():
         first = min(abs(2 * sum(s * d[i] for s, d in got.items()) - total) for i in (0, 1))
         best = min(abs(2 * sum(c) - total) for k in range(10) for c in itertools.combinations(sizes, k))
         assert first == best
+
+
+def test_large_tables_and_units(monkeypatch):
+    """Beyond the bitset the totals are as close as they are with one that holds everything."""
+    cases = [
+        {1: 30_000, 3: 900, 40: 50},
+        {60_000: 1, 1: 10_000, 2: 20_000, 7: 3_000, 1000: 70},
+        {60_000: 3, 1: 5, 123: 200, 9: 7},
+        {s: max(1, 40_000 // s**2) for s in range(1, 80)},
+    ]
+    off = lambda sizes: [
+        abs(sum(s * d[i] for s, d in closest_totals(sizes, [0.6, 0.2, 0.2]).items()) - w * sum(s * m for s, m in sizes.items())) for i, w in enumerate((0.6, 0.2, 0.2))
+    ]
+    whole = [off(c) for c in cases]
+    monkeypatch.setattr(splits, "MAX_BITS", 4_000)
+    for sizes, exact in zip(cases, whole, strict=True):
+        assert max(off(sizes)) <= max(exact) + 1
