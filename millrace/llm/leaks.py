@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.sentences import END
 from millrace.llm.tokens import token_hashes
+from millrace.sources.scratch import write_cut
 from millrace.sources.tables import spread
 
 #: Fixed masks over token positions: 1 counts, 0 is ignored. All have weight 5.
@@ -31,13 +33,22 @@ STOCK, RARE = 16, 0.01
 WHOLE = 0.9
 #: An opening sentence that at least this many items share is an instruction.
 SHARED_OPENINGS = 2
-#: Seeds of evaluation items sent to the tasks at once; more items are searched in further passes.
-SEEDS_PER_PASS = 2_000_000
+#: Seeds of evaluation items that the tasks hold (a checked bound); of more items the seeds are joined by hash in a shuffle.
+INDEX_SEEDS = 2_000_000
+#: Candidate items of one document that are verified together.
+ITEMS_AT_ONCE = 256
 #: Characters worked on at once.
 CHARACTERS = 1_000_000
 #: Tokens compared at once when agreement on the diagonals is counted.
 CELLS = 4_000_000
-_BITS = 22
+#: Bits of the hash that the filter of item seeds knows.
+FILTER_BITS, SMALL_FILTER_BITS = 22, 12
+
+
+@cache
+def _numbers() -> np.ndarray:
+    """Hashes of the tokens that are whole numbers up to four digits."""
+    return np.unique(token_hashes([" ".join(f"{n} 0{n}" for n in range(10_000))])[0])
 
 
 def opening(column: str) -> str:
@@ -50,22 +61,15 @@ def opening(column: str) -> str:
 class SeedIndex:
     """Spaced seeds of a block of items, sorted by hash. rare: hashes of each item's rare tokens, as signed numbers."""
 
-    def __init__(self, ids: list[int], texts: list[str], rare: list[list[int]] | None = None) -> None:
+    def __init__(self, ids: list[int], texts: list[str], rare: list[list[int]] | None = None, bits: int = FILTER_BITS) -> None:
         self.ids = np.array(ids, np.int64)
         self.tokens, self.offsets = token_hashes(texts)
         few = np.array([h for of_item in rare or [] for h in of_item], np.int64).view(np.uint64)
-        numbers, _ = token_hashes([" ".join(f"{n} 0{n}" for n in range(10_000))])
         # how much a token tells: two for a rare one, one for a number
-        self.telling = np.where(np.isin(self.tokens, few), 2, np.isin(self.tokens, numbers).astype(np.int64))
+        self.telling = np.where(np.isin(self.tokens, few), 2, np.isin(self.tokens, _numbers()).astype(np.int64))
         hashes, items, places = [], [], []
         self.masks = []
-        short = np.diff(self.offsets) < SHORT
-        for k, mask in enumerate(MASKS + LIGHT_MASKS):
-            h, at, text = seeds(self.tokens, self.offsets, k, mask)
-            if mask in LIGHT_MASKS:
-                h, at, text = (x[short[text]] for x in (h, at, text))
-            if not len(h):
-                continue
+        for k, mask, h, at, text in item_seeds(self.tokens, self.offsets):
             self.masks.append((k, mask))
             hashes.append(h)
             items.append(text)
@@ -76,8 +80,9 @@ class SeedIndex:
         self.hash, self.item, self.place = h[order], item[order], place[order]
         self.keys, self.first = np.unique(self.hash, return_index=True)
         self.count = np.diff(np.append(self.first, len(self.hash)))
-        self.filter = np.zeros(1 << _BITS, bool)
-        self.filter[(self.keys >> np.uint64(64 - _BITS)).astype(np.int64)] = True
+        self.bits = np.uint64(64 - bits)
+        self.filter = np.zeros(1 << bits, bool)
+        self.filter[(self.keys >> self.bits).astype(np.int64)] = True
 
 
 def seeds(tokens: np.ndarray, offsets: np.ndarray, k: int, mask: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,6 +101,17 @@ def seeds(tokens: np.ndarray, offsets: np.ndarray, k: int, mask: str) -> tuple[n
     return h[fits], fits, text[fits]
 
 
+def item_seeds(tokens: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, str, np.ndarray, np.ndarray, np.ndarray]]:
+    """(number, mask, hash, first token, item) of every mask that has seeds; the light ones only of short items."""
+    short = np.diff(offsets) < SHORT
+    for k, mask in enumerate(MASKS + LIGHT_MASKS):
+        h, at, text = seeds(tokens, offsets, k, mask)
+        if mask in LIGHT_MASKS:
+            h, at, text = (x[short[text]] for x in (h, at, text))
+        if len(h):
+            yield k, mask, h, at, text
+
+
 def held_tokens(item: np.ndarray, doc: np.ndarray, diagonals: np.ndarray, telling: np.ndarray) -> int:
     """Item tokens that the document holds in one place and in order, around hits on the diagonals.
 
@@ -170,7 +186,7 @@ def leaks_in(index: SeedIndex, texts: list[str]) -> list[tuple[int, int, float]]
     docs, items, dpos, ipos = [], [], [], []
     for k, mask in index.masks:
         h, at, text = seeds(tokens, offsets, k, mask)
-        maybe = np.flatnonzero(index.filter[(h >> np.uint64(64 - _BITS)).astype(np.int64)])
+        maybe = np.flatnonzero(index.filter[(h >> index.bits).astype(np.int64)])
         if not len(maybe):
             continue
         spot = np.minimum(np.searchsorted(index.keys, h[maybe]), len(index.keys) - 1)
@@ -254,42 +270,104 @@ def leaked_items(documents: DataFrame, items: DataFrame, text: str = "text", ite
     foreign sentences in between are tolerated. An opening sentence shared by at least
     SHARED_OPENINGS items is an instruction and counts for neither side.
 
-    Items go to the tasks in passes of at most SEEDS_PER_PASS seeds, so what is sent is
-    bounded whatever their number; documents are never shuffled, and copies each have their
-    rows. Null and blank texts and items, and items with fewer tokens than the shortest
-    mask (3), hold nothing. Repeated item ids count once per text.
+    Training and item seeds are joined by hash, in one scan of the documents. Up to
+    INDEX_SEEDS the item seeds are sent to the tasks and joined there; more are joined in a
+    shuffle (see _candidates). Both give the same rows. Copies each have their rows, and a document without an id has rows
+    with a null id. Null and blank texts and items, items without an id and those with fewer
+    tokens than the shortest mask (3) hold nothing. Repeated item ids count once per text.
     """
     pool = items.select(F.col("item_id").cast("long").alias("item_id"), F.col(item_text).alias("t"))
     pool = pool.filter("item_id IS NOT NULL AND trim(t) <> ''").withColumn("o", F.lower(F.expr(opening("t"))))
     shared = pool.filter("o <> ''").groupBy("o").agg(F.countDistinct("item_id").alias("n")).filter(F.col("n") >= SHARED_OPENINGS)
     # an opening that is most of its item is the passage itself
     cut = "n IS NOT NULL AND 2 * length(o) < length(t)"
-    pool = pool.join(shared, "o", "left").withColumn("t", F.expr(f"IF({cut}, substring(ltrim(t), length(o) + 1), t)"))
-    base = spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")))
-    schema = "doc_id long, item_id long, held double"
-    found = None
-    for ids, texts, rare in _passes(pool.select("item_id", "t")):
-        index = SeedIndex(ids, texts, rare)
-
-        def search(batches: Iterator[pa.RecordBatch], index: SeedIndex = index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                doc_ids, bodies = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                for group in _pieces(bodies):
-                    rows = leaks_in(index, [bodies[n] for n in group])
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([doc_ids[group[t]] for t, _, _ in rows], pa.int64()),
-                            pa.array([e for _, e, _ in rows], pa.int64()),
-                            pa.array([s for _, _, s in rows], pa.float64()),
-                        ],
-                        ["doc_id", "item_id", "held"],
-                    )
-
-        part = base.mapInArrow(search, schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return base.sparkSession.createDataFrame([], schema)
-    return found
+    pool = pool.join(shared, "o", "left").withColumn("t", F.expr(f"IF({cut}, substring(ltrim(t), length(o) + 1), t)")).select("item_id", "t")
+    # few rows, read several times
+    pool = write_cut(pool.join(rare_tokens(pool), "item_id", "left").select("item_id", "t", "rare"), "items", size="sum(length(t))")
+    base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
+    base = spread(base.filter("text IS NOT NULL"))
+    if not pool.seen["size"]:
+        return base.sparkSession.createDataFrame([], _FOUND)
+    if len(MASKS) * pool.seen["size"] > INDEX_SEEDS:
+        return _candidates(base, pool.df).mapInArrow(_verify, _FOUND)
+    rows = pool.df.orderBy("item_id", "t").collect()
+    index = SeedIndex([r[0] for r in rows], [r[1] for r in rows], [r[2] or [] for r in rows])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for group in _pieces(texts):
+                yield _found([(ids[group[t]], e, s) for t, e, s in leaks_in(index, [texts[n] for n in group])])
+
+    return base.mapInArrow(search, _FOUND)
+
+
+_FOUND = "doc_id long, item_id long, held double"
+
+
+def _found(rows: list[tuple[int | None, int, float]]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else ((), (), ())
+    types = (pa.int64(), pa.int64(), pa.float64())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "item_id", "held"])
+
+
+def _seed_rows(owner: np.ndarray, hashes: np.ndarray, name: str) -> pa.RecordBatch:
+    """Each seed once by owner."""
+    order = np.lexsort((hashes, owner))
+    owner, hashes = owner[order], hashes[order]
+    once = np.r_[True, (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])] if len(owner) else np.zeros(0, bool)
+    return pa.RecordBatch.from_arrays([pa.array(hashes[once].view(np.int64)), pa.array(owner[once], pa.int64())], ["seed", name])
+
+
+def _candidates(base: DataFrame, pool: DataFrame) -> DataFrame:
+    """(doc_id, text, items) of the documents that share a seed with items, at most about ITEMS_AT_ONCE items a row.
+
+    A filter of fixed size, of the first FILTER_BITS bits of the items' seeds, is all that is
+    sent to the tasks. The seeds of documents that pass it are joined with those of the items
+    by hash; a seed that a third of the documents hold is split by adaptive skew handling.
+    """
+
+    def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, offsets = token_hashes(batch.column(1).to_pylist())
+            ids = batch.column(0).to_numpy()
+            for _, _, h, _, text in item_seeds(tokens, offsets):
+                yield _seed_rows(ids[text], h, "item_id")
+
+    wanted = write_cut(pool.mapInArrow(of_items, "seed long, item_id long").distinct(), "seeds").df
+    place = F.shiftrightunsigned("seed", 64 - FILTER_BITS)
+    words = wanted.groupBy(F.shiftright(place, 6).alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, CAST(shiftrightunsigned(seed, {64 - FILTER_BITS}) & 63 AS int)))").alias("bits"))
+    known = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    for word, bits in words.collect():  # at most 2 ** (FILTER_BITS - 6) rows
+        known[word] = bits
+    passes = np.unpackbits(known.view(np.uint8), bitorder="little").astype(bool)
+
+    def of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            for group in _pieces(texts):
+                tokens, offsets = token_hashes([texts[n] for n in group])
+                for k, mask in enumerate(MASKS + LIGHT_MASKS):
+                    h, _, text = seeds(tokens, offsets, k, mask)
+                    kept = np.flatnonzero(passes[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
+                    yield _seed_rows(keys[group][text[kept]], h[kept], "key")
+
+    # by hash of the text: copies have their candidates in common, and no document needs an id
+    keyed = base.withColumn("key", F.xxhash64("text"))
+    pairs = keyed.select("key", "text").mapInArrow(of_texts, "seed long, key long").join(wanted, "seed").select("key", "item_id").distinct()
+    sizes = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    blocks = F.pmod(F.xxhash64("item_id"), F.greatest(F.lit(1), F.ceil(F.col("n") / ITEMS_AT_ONCE)))
+    rows = pairs.join(sizes, "key").withColumn("block", blocks).join(pool, "item_id")
+    rows = rows.groupBy("key", "block").agg(F.collect_list(F.struct("item_id", "t", "rare")).alias("items"))
+    return keyed.join(rows, "key").select("doc_id", "text", "items")
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for doc, text, items in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            items.sort(key=lambda r: (r["item_id"], r["t"]))
+            index = SeedIndex([r["item_id"] for r in items], [r["t"] for r in items], [r["rare"] or [] for r in items], SMALL_FILTER_BITS)
+            yield _found([(doc, e, s) for _, e, s in leaks_in(index, [text])])
 
 
 def rare_tokens(items: DataFrame) -> DataFrame:
@@ -306,21 +384,3 @@ def rare_tokens(items: DataFrame) -> DataFrame:
     count = items.agg(F.countDistinct("item_id").alias("items"))
     few = each.groupBy("token").count().crossJoin(F.broadcast(count)).filter(F.col("count") <= limit).select("token")
     return each.join(few, "token").groupBy("item_id").agg(F.collect_list("token").alias("rare"))
-
-
-def _passes(pool: DataFrame) -> Iterator[tuple[list[int], list[str], list[list[int]]]]:
-    """Items in blocks of bounded seeds, with their rare tokens; the driver holds one block at a time.
-
-    Which tokens are rare is counted over all items, so it does not depend on the blocks.
-    """
-    ids, texts, rare, size = [], [], [], 0
-    for row in pool.join(rare_tokens(pool), "item_id", "left").select("item_id", "t", "rare").toLocalIterator():
-        ids.append(row[0])
-        texts.append(row[1])
-        rare.append(row[2] or [])
-        size += len(MASKS) * len(row[1])
-        if size >= SEEDS_PER_PASS:
-            yield ids, texts, rare
-            ids, texts, rare, size = [], [], [], 0
-    if ids:
-        yield ids, texts, rare

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 import numpy as np
 
 from millrace.llm.leaks import SeedIndex, held_tokens, leaked_items
@@ -67,10 +69,40 @@ def test_empty_tables_and_several_passes(spark, monkeypatch):
     docs = [(n, items[n][1]) for n in range(6)] + [(77, " ".join(t for _, t in items))]
     want = {(n, n) for n in range(6)} | {(77, n) for n in range(6)}
     assert run(spark, docs, items) == want
-    monkeypatch.setattr(leaks, "SEEDS_PER_PASS", 1500)
+    monkeypatch.setattr(leaks, "INDEX_SEEDS", 1500)
     assert run(spark, docs, items) == want
 
 
+@pytest.mark.parametrize("rate", [0.1, 0.2, 0.3, 0.4])
+def test_substituted_words(spark, rate):
+    """Of 120 items with that share of their words replaced at random, at least 0.9 of those half held are found, and no others."""
+    r = random.Random(int(rate * 10))
+    stock = words(4000, 800)
+    weights = [1 / (k + 1) for k in range(4000)]
+    some = lambda n: r.choices(stock, weights, k=n)
+    items, docs, held = [], [], set()
+    for n in range(120):
+        item = some(60)
+        changed = [some(1)[0] if r.random() < rate else w for w in item]
+        items.append((n, " ".join(item)))
+        docs.append((n, " ".join(some(80) + changed + some(80))))
+        if 2 * sum(a == b for a, b in zip(item, changed, strict=True)) >= len(item):
+            held.add((n, n))
+    got = run(spark, docs, items)
+    assert len(got & held) >= 0.9 * len(held)
+    assert got <= {(n, n) for n in range(120)}
+
+
+def test_both_joins_give_the_same_rows_on_the_tables(spark, small, monkeypatch):
+    from millrace.llm import leaks, queries
+
+    rows = lambda: sorted(map(tuple, queries.p7_found(spark, small).collect()))
+    whole = rows()
+    monkeypatch.setattr(leaks, "INDEX_SEEDS", 1000)
+    assert rows() == whole
+    assert whole
+
+
 def test_long_text(spark):
     item = " ".join(words(40, 300))
     long = " ".join(words(300_000, 301))
@@ -135,5 +167,5 @@ def test_ordinary_sentences_whatever_the_passes(spark, monkeypatch):
     docs = [(1, apart(items[0])), (2, apart(items[1][:30]))]
     given = [(n, text(w)) for n, w in enumerate(items)]
     assert run(spark, docs, given) == {(1, 0)}
-    monkeypatch.setattr(leaks, "SEEDS_PER_PASS", 500)
+    monkeypatch.setattr(leaks, "INDEX_SEEDS", 500)
     assert run(spark, docs, given) == {(1, 0)}
