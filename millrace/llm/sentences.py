@@ -24,8 +24,10 @@ from millrace.sources.tables import spread
 TRAINING_DOCUMENTS = 6_000
 #: Labelled candidates used for the fit.
 TRAINING_ROWS = 150_000
-#: With fewer labelled candidates nothing is fitted; the shape of the candidate decides.
-LEAST_ROWS = 200
+#: Characters of all texts that it is fitted on, and of the longest of them.
+TRAINING_CHARACTERS, LONGEST_TRAINING_TEXT = 30_000_000, 200_000
+#: Weight of each of the few examples that stand for what is known beforehand: they decide where labels are few.
+PRIOR_WEIGHT = 3.0
 #: A token seen this often after or before candidates, but never at a certain boundary, marks certain non-boundaries.
 CERTAIN = 15
 
@@ -274,7 +276,7 @@ class BoundaryModel:
         return ["b", f"F{f}", f"S{s}", f"FF{ff}", f"SS{ss}", f"F{f}S{s}", f"FF{ff}SS{ss}", f"S{s}{shape[0]}", f"F{f}{shape[1]}", *shape]
 
     def fit(self, texts: list[str], l2: float = 1.0, steps: int = 60) -> BoundaryModel:
-        """Fit on texts; few or no texts leave a model that trusts shape alone."""
+        """Fit on texts and on what is known beforehand: end marks end sentences, but not before a small letter."""
         final, first, left_all, right_all = Counter(), Counter(), Counter(), Counter()
         seen, certain = Counter(), []
 
@@ -322,8 +324,14 @@ class BoundaryModel:
             elif line and all(hit > 3 for _, hit in ends + starts):
                 rows.append((self.features(l, r, True), 1, float(min(n, 20))))
         rows = rows[:: max(1, len(rows) // TRAINING_ROWS)]
-        if len(rows) < LEAST_ROWS:
-            return self
+        words = {"l": "Word", "g": "Слово", "n": "कखगघ", "c": "漢字"}
+        for script, left in words.items():
+            for mark in END:
+                for right in words.values():
+                    rows.append((self.features(left.lower() + mark, right, False), 1, PRIOR_WEIGHT))
+                if script in "lg":
+                    rows.append((self.features(left.lower() + mark, left.lower(), False), 0, 2 * PRIOR_WEIGHT))
+            rows.append((self.features(left.lower(), left, False), 0, PRIOR_WEIGHT))
         index = {f: i for i, f in enumerate(sorted({f for fs, _, _ in rows for f in fs}))}
         width = max(len(fs) for fs, _, _ in rows)
         x = np.full((len(rows), width), len(index))
@@ -341,8 +349,6 @@ class BoundaryModel:
         return self
 
     def score(self, left: str, right: str, line: bool) -> float:
-        if not self.weights:
-            return 1.0 if left[-1] in END + CLOSERS and not _small(right) else -1.0
         return sum(self.weights.get(f, 0.0) for f in self.features(left, right, line))
 
     def is_boundary(self, left: str, right: str, line: bool) -> bool:
@@ -351,11 +357,7 @@ class BoundaryModel:
         if known is None:
             if len(self.memo) > 500_000:
                 self.memo.clear()
-            if left[-1] in WIDE_END + "।॥":
-                known = True
-            else:
-                known = self.score(left, right, line) > 0
-            self.memo[key] = known
+            known = self.memo[key] = self.score(left, right, line) > 0
         return known
 
     def split(self, text: str) -> list[tuple[int, int]]:
@@ -376,11 +378,17 @@ class BoundaryModel:
 
 
 def training_texts(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") -> list[str]:
-    """Texts of at most about TRAINING_DOCUMENTS documents, chosen by hash of the id."""
-    n = documents.count()
-    parts = max(1, n // TRAINING_DOCUMENTS)
-    kept = documents.filter(F.pmod(F.xxhash64(doc_id), F.lit(parts)) == 0).select(text).filter(F.col(text).isNotNull())
-    return sorted(r[0] for r in kept.limit(2 * TRAINING_DOCUMENTS).collect())
+    """Texts the classifier is fitted on, the only rows that reach the driver: whole documents chosen by hash of id and text.
+
+    About TRAINING_DOCUMENTS of them, of TRAINING_CHARACTERS characters together, none above
+    LONGEST_TRAINING_TEXT; twice as many at most.
+    """
+    texts = documents.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).filter(f"length(t) BETWEEN 1 AND {LONGEST_TRAINING_TEXT}")
+    n, size = texts.agg(F.count("t"), F.coalesce(F.sum(F.length("t")), F.lit(0))).first()
+    parts = max(1, n // TRAINING_DOCUMENTS, size // TRAINING_CHARACTERS)
+    kept = texts.filter(F.pmod(F.xxhash64("i", F.xxhash64("t")), F.lit(parts)) == 0) if parts > 1 else texts
+    rows = kept.orderBy(F.xxhash64("i", F.xxhash64("t")), "t").limit(min(2 * TRAINING_DOCUMENTS, 2 * TRAINING_CHARACTERS // max(1, size // max(1, n)))).collect()
+    return sorted(r["t"] for r in rows)
 
 
 def sentence_spans(documents: DataFrame, model: BoundaryModel | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
