@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators import ranks
+
 
 def exceedances(df: DataFrame, keys: list[str], what: str, value: str, limits: dict[str, dict[str, float]]) -> DataFrame:
     """Days above each limit: limits {standard: {what: limit}} become a literal table joined on what."""
@@ -19,21 +21,18 @@ def exceedances(df: DataFrame, keys: list[str], what: str, value: str, limits: d
 
 
 def summary_stats(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """Count, mean, sample deviation, extremes and median of each column, in long form, in one pass."""
+    """Count, mean, sample deviation, extremes and median of each column, in long form."""
     long = df.select(*keys, F.inline(F.array(*[F.struct(F.lit(v).alias("measure"), F.col(v).cast("double").alias("x")) for v in values])))
-    return long.groupBy(*keys, "measure").agg(
-        F.count("x").alias("n"),
-        F.avg("x").alias("mean"),
-        F.stddev_samp("x").alias("std"),
-        F.min("x").alias("min"),
-        F.median("x").alias("median"),
-        F.max("x").alias("max"),
+    by = [*keys, "measure"]
+    stats = long.groupBy(*by).agg(
+        F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max")
     )
+    return ranks.same_keys(stats, ranks.quantiles(long, by, "x", {"median": 0.5}), by)
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Linearly interpolated quantiles; null values are skipped."""
-    return df.groupBy(*keys).agg(*[F.percentile(value, F.lit(q)).alias(name) for name, q in shares.items()])
+    return ranks.quantiles(df, keys, value, shares)
 
 
 def common_dates(df: DataFrame, date: str, key: str, members: list, value: str) -> DataFrame:

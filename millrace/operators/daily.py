@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.numbers import days_in_year, invalid_reading, is_close, season
+from millrace.operators import ranks
 
 MIN_HOURS = 18
 
@@ -49,9 +50,9 @@ def monthly_means(daily: DataFrame, keys: list[str], date: str, value: str) -> D
 def seasonal_summary(daily: DataFrame, keys: list[str], date: str, value: str) -> DataFrame:
     """Count, mean and median of the values by keys, year and season."""
     rows = daily.withColumn("year", F.year(date)).withColumn("season", season(F.col(date)))
-    return rows.groupBy(*keys, "year", "season").agg(
-        F.count(value).alias("n"), F.avg(value).alias("mean_value"), F.median(value).alias("median_value")
-    )
+    by = [*keys, "year", "season"]
+    means = rows.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean_value"))
+    return ranks.same_keys(means, ranks.quantiles(rows, by, value, {"median_value": 0.5}), by)
 
 
 def paired_day_quality(hourly: DataFrame, keys: list[str], fine: str, coarse: str, min_hours: int = MIN_HOURS) -> DataFrame:
@@ -76,9 +77,9 @@ def completeness_sensitivity(daily: DataFrame, key: str, members: list, date: st
     rows = rows.filter(F.col(hours) >= F.col("min_hours")).filter(F.col(value).isNotNull())
     common = rows.groupBy("min_hours", date).agg(F.countDistinct(key).alias("k")).filter(F.col("k") == len(members)).drop("k")
     both = rows.join(common, ["min_hours", date])
-    return both.groupBy("min_hours", key).agg(
-        F.countDistinct(date).alias("common_days"), F.avg(value).alias("mean_value"), F.median(value).alias("median_value")
-    )
+    by = ["min_hours", key]
+    means = both.groupBy(*by).agg(F.countDistinct(date).alias("common_days"), F.avg(value).alias("mean_value"))
+    return ranks.same_keys(means, ranks.quantiles(both, by, value, {"median_value": 0.5}), by)
 
 
 def cleaning_audit(df: DataFrame, by: str, key: list[str], time: Column, value: str, raw: str, factor: float, first: str, last: str) -> DataFrame:

@@ -2,70 +2,67 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Ranges that a column's values are cut into for ranking.
-RANGES = 32
+from millrace.operators.ranks import Ranges, average_rank
+
 #: A 31-bit linear congruential generator, which SQL can repeat exactly.
 LCG_A, LCG_C, LCG_M = 1_103_515_245, 12_345, 1 << 31
 
 
-def _ranges(df: DataFrame, columns: list[str]) -> dict[str, list[float]]:
-    """Cuts of each column into about RANGES ranges of equal size: RANGES numbers a column reach the driver."""
-    shares = [i / RANGES for i in range(1, RANGES)]
-    row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), shares, 10 * RANGES).alias(f"q{i}") for i, c in enumerate(columns)]).first()
-    return {c: sorted(set(row[f"q{i}"] or [])) for i, c in enumerate(columns)}
-
-
-def _range_of(x: Column, cuts: list[float]) -> Column:
-    """The number of cuts below x."""
-    return sum(((x > F.lit(c)).cast("int") for c in cuts), F.lit(0))
-
-
-def average_rank(df: DataFrame, keys: list[str], value: str, name: str, weight: str | None = None, part: Column | None = None) -> DataFrame:
-    """(keys, value, name): the average-tie rank of each distinct value within keys.
+def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Spearman correlation of every pair of columns (a <= b), each over the rows that have both values.
 
-    Values are counted first, so ties cost nothing. part, a column that never decreases with
-    the value, cuts the ranking: counts of earlier parts are summed up and only the values of
-    one part meet in a window, so a large group is ranked by many tasks.
+    A column without nulls has the same ranks beside any other such column: it is ranked once
+    and the ranks are joined to the rows. Pairs with nulls are ranked over the rows they
+    leave. A column beside itself needs no ranks. Null where a column does not vary.
     """
-    n = F.sum(weight) if weight else F.count(F.lit(1))
-    counts = df.groupBy(*keys, (part if part is not None else F.lit(0)).alias("_part"), value).agg(n.alias("_n"))
-    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = counts.groupBy(*keys, "_part").agg(F.sum("_n").alias("_all"))
-    parts = parts.select(*keys, "_part", F.coalesce(F.sum("_all").over(earlier), F.lit(0)).alias("_before"))
-    upto = Window.partitionBy(*keys, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    within = counts.withColumn("_below", F.coalesce(F.sum("_n").over(upto), F.lit(0))).join(parts, [*keys, "_part"])
-    return within.select(*keys, value, (F.col("_before") + F.col("_below") + (F.col("_n") + 1) / 2).alias(name))
-
-
-def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Spearman correlation of every pair of columns (a <= b), each over the rows that have both values."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    cuts = _ranges(df, columns)
-    wide = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
-    wide = wide.withColumns({f"p{i}": _range_of(F.col(f"v{i}"), cuts[c]) for i, c in enumerate(columns)})
-    at = {c: i for i, c in enumerate(columns)}
-    parts = [
-        F.struct(F.lit(k).alias("pair"), *[F.col(f"{t}{at[c]}").alias(n) for c, v, p in ((a, "x", "px"), (b, "y", "py")) for t, n in (("v", v), ("p", p))])
-        for k, (a, b) in enumerate(pairs)
-    ]
-    long = wide.select(F.inline(F.array(*parts))).filter("x IS NOT NULL AND y IS NOT NULL")
-    # pairs of equal values are one row with a weight: ties, however many, cost nothing
-    pooled = long.groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("w"), F.max("px").alias("px"), F.max("py").alias("py"))
-    rx = average_rank(pooled, ["pair"], "x", "rx", "w", F.col("px"))
-    ry = average_rank(pooled, ["pair"], "y", "ry", "w", F.col("py"))
-    both = pooled.join(rx, ["pair", "x"]).join(ry, ["pair", "y"])
-    w, x, y = F.col("w"), F.col("rx"), F.col("ry")
-    sums = both.groupBy("pair").agg(
-        F.sum("w").alias("n"), F.sum(w * x).alias("sx"), F.sum(w * y).alias("sy"), F.sum(w * x * x).alias("sxx"), F.sum(w * y * y).alias("syy"), F.sum(w * x * y).alias("sxy")
-    )
-    n = F.col("n")
-    top = n * F.col("sxy") - F.col("sx") * F.col("sy")
-    below = (n * F.col("sxx") - F.col("sx") * F.col("sx")) * (n * F.col("syy") - F.col("sy") * F.col("sy"))
-    names = [F.get(F.array(*[F.lit(p[i]) for p in pairs]), F.col("pair")) for i in (0, 1)]
-    return sums.select(names[0].alias("a"), names[1].alias("b"), "n", F.when(below > 0, top / F.sqrt(below)).alias("rho"))
+    ranges = Ranges(df, columns)
+    wide = df.select(*[F.col(f"`{c}`").cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+    n_pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    same = [i for i, j in n_pairs if i == j]
+    full = [i for i, c in enumerate(columns) if ranges.complete[c]]
+    sums = []
+    alone = [F.struct(F.lit(i).alias("i"), F.lit(i).alias("j"), F.col(f"v{i}").alias("v")) for i in same]
+    alone = wide.select(F.inline(F.array(*alone))).filter("v IS NOT NULL").groupBy("i", "j").agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    sums.append(alone.select("i", "j", "n", F.when(F.col("lo") < F.col("hi"), 1.0).alias("rho")))
+    pairs = [(i, j) for i, j in n_pairs if i < j and i in full and j in full]
+    if pairs:
+        ranked = wide
+        for i in {k for p in pairs for k in p}:
+            ranked = ranked.join(average_rank(wide, [], f"v{i}", f"r{i}", ranges.of(columns[i])), f"v{i}")
+        terms = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), *[F.sum(t).alias(n) for n, t in _terms(F.lit(1.0), F.col(f"r{i}"), F.col(f"r{j}"))]) for i, j in pairs]
+        sums.append(_rho(ranked.agg(F.array(*terms).alias("t")).select(F.inline("t"))))
+    pairs = [(i, j) for i, j in n_pairs if i < j and not (i in full and j in full)]
+    if pairs:
+        cells = [
+            F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"v{i}").alias("x"), F.col(f"v{j}").alias("y"))
+            for i, j in pairs
+        ]
+        long = wide.select(F.inline(F.array(*cells))).filter("x IS NOT NULL AND y IS NOT NULL")
+        # pairs of equal values are one row with a weight: ties, however many, cost nothing
+        pooled = long.groupBy("i", "j", "x", "y").agg(F.count(F.lit(1)).alias("w"))
+        both = pooled
+        for v, r, k in (("x", "rx", "i"), ("y", "ry", "j")):
+            both = both.join(average_rank(pooled, ["i", "j"], v, r, ranges.of_any(k, columns), "w"), ["i", "j", v])
+        terms = [F.sum(t).alias(n) for n, t in _terms(F.col("w"), F.col("rx"), F.col("ry"))]
+        sums.append(_rho(both.groupBy("i", "j").agg(*terms)))
+    out = sums[0]
+    for more in sums[1:]:
+        out = out.unionByName(more)
+    name = F.array(*[F.lit(c) for c in columns])
+    return out.select(F.get(name, F.col("i")).alias("a"), F.get(name, F.col("j")).alias("b"), "n", "rho")
+
+
+def _terms(w: Column, x: Column, y: Column) -> list[tuple[str, Column]]:
+    return [("n", w), ("sx", w * x), ("sy", w * y), ("sxx", w * x * x), ("syy", w * y * y), ("sxy", w * x * y)]
+
+
+def _rho(sums: DataFrame) -> DataFrame:
+    n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
+    below = (n * F.col("sxx") - sx * sx) * (n * F.col("syy") - sy * sy)
+    return sums.select("i", "j", n.cast("long").alias("n"), F.when(below > 0, (n * F.col("sxy") - sx * sy) / F.sqrt(below)).alias("rho"))
 
 
 def block_bootstrap(daily: DataFrame, draws: DataFrame, block: int, days: int, day: str, value: str) -> DataFrame:

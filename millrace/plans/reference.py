@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import numbers
 from millrace.functions.times import readable_time
-from millrace.operators import compare, daily, series
+from millrace.operators import compare, daily, ranks, series
 from millrace.sources.tables import clean, table
 
 QUERIES, ORACLE = {}, {}
@@ -314,8 +314,11 @@ def eligibility_funnel(spark, folder):
 SELECT vehicle_class, count(*) AS n, count(DISTINCT image_id) AS images, min(bbox_width) AS width_min, round(median(bbox_width), 6) AS width_median, max(bbox_width) AS width_max,
        min(bbox_height) AS height_min, round(median(bbox_height), 6) AS height_median, max(bbox_height) AS height_max FROM vehicle_objects GROUP BY ALL""")
 def class_sizes(spark, folder):
-    sizes = [f(f"bbox_{s}").alias(f"{s}_{n}") for s in ("width", "height") for n, f in (("min", F.min), ("median", F.median), ("max", F.max))]
-    out = table(spark, folder, "vehicle_objects").groupBy("vehicle_class").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("image_id").alias("images"), *sizes)
+    rows = table(spark, folder, "vehicle_objects")
+    sizes = [f(f"bbox_{s}").alias(f"{s}_{n}") for s in ("width", "height") for n, f in (("min", F.min), ("max", F.max))]
+    out = rows.groupBy("vehicle_class").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("image_id").alias("images"), *sizes)
+    for s in ("width", "height"):
+        out = ranks.same_keys(out, compare.quantiles(rows, ["vehicle_class"], f"bbox_{s}", {f"{s}_median": 0.5}), ["vehicle_class"])
     return rounded(out, "width_median", "height_median")
 
 
