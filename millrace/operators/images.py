@@ -105,9 +105,10 @@ def crop(pixels: bytes, width: int, left: int, top: int, right: int, bottom: int
     return np.frombuffer(pixels, np.uint8).reshape(-1, width, 3)[top:bottom, left:right].tobytes()
 
 
-def sign_hash(embedding: str, bits: int = 63) -> Column:
-    """The signs of a vector's first elements as a number: bit i is set if element i is positive."""
+def sign_hash(embedding: str, bits: int = 64) -> Column:
+    """The signs of a vector's first elements (64 at most) as a number: bit i is set if element i is positive."""
     out = F.lit(0).cast("long")
     for i in range(bits):
-        out = out + F.when(F.get(F.col(embedding), F.lit(i)) > 0, F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
+        value = 1 << i if i < 63 else -(1 << 63)
+        out = out.bitwiseOR(F.when(F.get(F.col(embedding), F.lit(i)) > 0, F.lit(value)).otherwise(F.lit(0)).cast("long"))
     return out

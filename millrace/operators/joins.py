@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -49,19 +50,24 @@ def range_lookup(df: DataFrame, keys: list[str], date: str, value: str, days: in
     return out.withColumn("range_n", F.coalesce("range_n", F.lit(0).cast("long")))
 
 
-def near_hashes(df: DataFrame, key: str, bits: str, distance: int = 6, width: int = 64, shared: int = 2) -> DataFrame:
+def near_hashes(df: DataFrame, key: str, bits: str, distance: int = 6, width: int = 64, shared: int | None = None) -> DataFrame:
     """Pairs of records whose hashes of width bits differ in at most distance bits: (a, b, distance), a < b.
 
     Records are first reduced to distinct hashes, which are cut into distance + shared bands:
     a close pair agrees in at least shared bands, so an equi-join on every choice of that many
     bands finds it, on keys of about width * shared / (distance + shared) bits. More shared
-    bands mean more keys but far fewer candidates, for larger tables. Equal hashes are linked
+    bands mean more keys but far fewer candidates; by default there are as many as make the
+    keys as long as the count of distinct hashes asks for (2 to 5). Band values that many
+    hashes have in common are split by adaptive skew handling. Equal hashes are linked
     to the smallest key of their hash instead of to each other, and close hashes through
     these representatives, so copies never become all pairs. Null keys and hashes match nothing.
     """
     rows = df.select(F.col(key).alias("k"), F.col(bits).alias("h")).filter("k IS NOT NULL AND h IS NOT NULL").distinct()
     heads = rows.groupBy("h").agg(F.min("k").alias("head"))
     copies = rows.join(heads, "h").filter("k <> head").select(F.col("head").alias("a"), F.col("k").alias("b"), F.lit(0).alias("distance"))
+    if shared is None:
+        asked = math.log2(max(heads.count(), 2)) - 4
+        shared = next((s for s in range(2, 5) if width * s / (distance + s) >= asked), 5)
     n = distance + shared
     edges = [width * i // n for i in range(n + 1)]
     masks = [((1 << b) - (1 << a)) for a, b in zip(edges, edges[1:], strict=False)]
@@ -84,7 +90,7 @@ def identical_groups(df: DataFrame, key: str, content: str) -> DataFrame:
     return rows.join(heads, "h").filter("a < b").select("a", "b")
 
 
-def smallest_linked(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 100) -> DataFrame:
+def smallest_linked(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 200) -> DataFrame:
     """The smallest linked key of every key of an edge: (member, group_id), by label propagation.
 
     Each round a member takes the smallest label among itself and its neighbours; a second
@@ -104,6 +110,9 @@ def smallest_linked(edges: DataFrame, a: str = "a", b: str = "b", rounds: int =
         labels.drop()
         labels = nxt
         labels.df = labels.df.select("v", "label")
+    else:
+        raise RuntimeError("labels did not settle")
+    links.drop()
     return labels.df.select(F.col("v").alias("member"), F.col("label").alias("group_id"))
 
 

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions.numbers import not_below_zero
 from millrace.operators.metrics import long_predictions, regression_metrics
+from millrace.operators.stats import numbered
+from millrace.sources.scratch import write_cut
 
 
 @dataclass
@@ -124,7 +126,7 @@ def balanced_weights(df: DataFrame, label: str) -> DataFrame:
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     even = counts.agg(F.sum("_n") / F.count(F.lit(1))).scalar()
     weights = counts.select(label, (even / F.col("_n")).alias("weight"))
-    return df.join(F.broadcast(weights), label)  # one row per class
+    return df.join(weights, label)  # one row a class: Catalyst broadcasts it while that is small
 
 
 def fit_logistic(train: DataFrame, features: list[str], label: str, labels: list[str], c: float) -> Fitted:
@@ -171,17 +173,17 @@ def permutation_importance(fitted: Fitted, frame: DataFrame, features: list[str]
     """Mean and deviation of the rise in MAE when a feature's values are shuffled among the rows.
 
     frame needs a unique column row_id. A shuffle pairs the rows' order with a random order
-    by joining two rankings computed once per repeat.
+    by joining two rankings computed once per repeat (row_id is a number).
     """
     base = fitted.predict(frame, "_p", offset)
     start = base.agg(F.avg(F.abs(F.col(actual) - F.col("_p"))).alias("m")).first()["m"]
     ids = frame.select("row_id")
+    places = write_cut(numbered(ids, "row_id", "place"), "places").df
     results = None
     for rep in range(repeats):
-        # consecutive numbers in two orders, by range partitions: no single-task window
-        a = ids.orderBy("row_id").rdd.map(lambda r: r[0]).zipWithIndex().toDF(["row_id", "place"])
-        b = ids.orderBy(F.xxhash64("row_id", F.lit(seed), F.lit(rep)), "row_id").rdd.map(lambda r: r[0]).zipWithIndex().toDF(["other_id", "place"])
-        moves = a.join(b, "place").drop("place")
+        # consecutive numbers in two orders: by id, and by a hash of the id
+        other = ids.select(F.col("row_id").alias("other_id"), F.xxhash64("row_id", F.lit(seed), F.lit(rep)).alias("h"))
+        moves = write_cut(places.join(numbered(other, "h", "place").drop("h"), "place").drop("place"), "moves").df
         for f in features:
             swapped = frame.join(moves, "row_id").drop(f).join(frame.select(F.col("row_id").alias("other_id"), f), "other_id").drop("other_id")
             mae = fitted.predict(swapped, "_p", offset).agg(F.avg(F.abs(F.col(actual) - F.col("_p"))).alias("mae"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.ranks import Ranges, average_rank
+from millrace.operators.ranks import Ranges, average_rank, value_ranks
 
 #: A 31-bit linear congruential generator, which SQL can repeat exactly.
 LCG_A, LCG_C, LCG_M = 1_103_515_245, 12_345, 1 << 31
@@ -109,3 +109,9 @@ def group_bootstrap(long: DataFrame, group: str, draws: DataFrame) -> DataFrame:
     weights = draws.groupBy("rep", group).agg(F.count(F.lit(1)).alias("times"))
     counts = long.groupBy(group, "actual", "predicted").agg(F.count(F.lit(1)).alias("n"))
     return weights.join(counts, group).groupBy("rep", "actual", "predicted").agg(F.sum(F.col("n") * F.col("times")).alias("n"))
+
+
+def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
+    """Consecutive numbers from 0 in the order of a unique number column, in ranges instead of one task."""
+    ranks = value_ranks(df.select(order), [], order, Ranges(df, [order]).of(order))
+    return df.join(ranks.select(order, F.col("_before").cast("long").alias(name)), order)

@@ -222,7 +222,7 @@ def spearman_matrix(spark, folder):
     return rounded(stats.spearman(rows, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]), "rho")
 
 
-_REPS, _BLOCK, _DAYS = 500, 14, 365
+_REPS, _BLOCKS, _DAYS = 5000, (7, 14, 28), 365
 
 
 def _lcg_sql(rows: int, per: int, choices: str) -> str:
@@ -233,40 +233,55 @@ def _lcg_sql(rows: int, per: int, choices: str) -> str:
     return f"SELECT i // {per} AS rep, i % {per} AS blk, (({s3} // 13) % {choices}) AS start FROM range({rows}) t(i)"
 
 
-_PER = -(-_DAYS // _BLOCK)
+def _block_sql(block: int) -> str:
+    per = -(-_DAYS // block)
+    return f"""d{block} AS ({_lcg_sql(_REPS * per, per, str(_DAYS - block + 1))}),
+s{block} AS (SELECT rep, blk * {block} + k AS pos, start + k AS pos_day FROM d{block}, range({block}) r(k)),
+m{block} AS (SELECT {block} AS block, rep, avg(delta) AS v FROM s{block} s JOIN y ON s.pos_day = y.pos_day WHERE pos < {_DAYS} GROUP BY rep)"""
 
 
 @query(f"""WITH {DENSE},
 e AS (SELECT CAST(day - DATE '2000-01-01' AS INTEGER) AS pos_day, round(total - lag(total) OVER (ORDER BY day), 4) AS delta FROM dense),
 y AS (SELECT * FROM e WHERE pos_day BETWEEN 0 AND {_DAYS - 1}),
-d AS ({_lcg_sql(_REPS * _PER, _PER, str(_DAYS - _BLOCK + 1))}),
-s AS (SELECT rep, blk * {_BLOCK} + k AS pos, start + k AS pos_day FROM d, range({_BLOCK}) r(k)),
-m AS (SELECT rep, avg(delta) AS v FROM s JOIN y ON s.pos_day = y.pos_day WHERE pos < {_DAYS} GROUP BY rep)
-SELECT count(v) AS repeats, round(quantile_cont(v, 0.025), 3) AS lower, round(quantile_cont(v, 0.975), 3) AS upper FROM m""")
+{", ".join(map(_block_sql, _BLOCKS))},
+m AS ({" UNION ALL ".join(f"SELECT * FROM m{b}" for b in _BLOCKS)})
+SELECT block, count(v) AS repeats, round(quantile_cont(v, 0.025), 3) AS lower, round(quantile_cont(v, 0.975), 3) AS upper FROM m GROUP BY block""")
 def block_bootstrap(spark, folder):
+    """5,000 repeats for blocks of 7, 14 and 28 days."""
     days = series.lags(calendar_densify(spark, folder), ["series"], "day", "total", [1])
     days = days.select(F.datediff("day", F.lit("2000-01-01").cast("date")).alias("pos_day"), F.round(F.col("total") - F.col("lag1"), 4).alias("delta"))
-    draws = stats.lcg_draws(spark, _REPS, _PER, _DAYS - _BLOCK + 1)
-    repeats = stats.block_bootstrap(days.filter(F.col("pos_day").between(0, _DAYS - 1)), draws, _BLOCK, _DAYS, "pos_day", "delta")
-    return rounded(stats.interval(repeats, "mean_value"), "lower", "upper", digits=3)
+    days = days.filter(F.col("pos_day").between(0, _DAYS - 1))
+    out = None
+    for block in _BLOCKS:
+        draws = stats.lcg_draws(spark, _REPS, -(-_DAYS // block), _DAYS - block + 1)
+        repeats = stats.interval(stats.block_bootstrap(days, draws, block, _DAYS, "pos_day", "delta"), "mean_value").select(F.lit(block).alias("block"), "*")
+        out = repeats if out is None else out.unionByName(repeats)
+    return rounded(out, "lower", "upper", digits=3)
 
 
-_GROUPS, _GROUP_REPS = 64, 200
+_GROUP_REPS = 500
+_G = "(SELECT count(*) FROM ids)"
 
 
 @query(f"""WITH {_CLASS.split(',' + chr(10) + 'm AS')[0]},
-g AS (SELECT CAST(((scene_group % {_GROUPS}) + {_GROUPS}) % {_GROUPS} AS BIGINT) AS g, actual, predicted FROM c WHERE scene_group IS NOT NULL),
-d AS ({_lcg_sql(_GROUPS * _GROUP_REPS, _GROUPS, str(_GROUPS))}),
-w AS (SELECT rep, start AS g, count(*) AS times FROM d GROUP BY ALL),
-k AS (SELECT rep, actual, predicted, sum(times) AS n FROM w JOIN g ON w.g = g.g GROUP BY ALL),
+g AS (SELECT scene_group AS g, actual, predicted, count(*) AS n FROM c WHERE scene_group > 0 GROUP BY ALL),
+ids AS (SELECT g, row_number() OVER (ORDER BY g) - 1 AS place FROM (SELECT DISTINCT g FROM g)),
+d AS ({_lcg_sql(1, 1, _G).replace("range(1)", f"range({_GROUP_REPS} * {_G})").replace("i // 1 ", f"i // {_G} ").replace("i % 1 ", f"i % {_G} ")}),
+w AS (SELECT rep, start AS place, count(*) AS times FROM d GROUP BY ALL),
+k AS (SELECT rep, actual, predicted, sum(times * n) AS n FROM w JOIN ids ON w.place = ids.place JOIN g ON ids.g = g.g GROUP BY ALL),
 f AS (SELECT rep, x, coalesce(2 * sum(n) FILTER (WHERE actual = x AND predicted = x) / nullif(coalesce(sum(n) FILTER (WHERE actual = x), 0) + coalesce(sum(n) FILTER (WHERE predicted = x), 0), 0), 0) AS f1 FROM k, lab GROUP BY ALL),
 m AS (SELECT rep, avg(f1) AS v FROM f GROUP BY rep)
 SELECT count(v) AS repeats, round(quantile_cont(v, 0.025), 6) AS lower, round(quantile_cont(v, 0.975), 6) AS upper FROM m""")
 def group_bootstrap(spark, folder):
-    rows = _classified(spark, folder).filter("scene_group IS NOT NULL").withColumn("g", F.pmod("scene_group", F.lit(_GROUPS)))
-    draws = stats.lcg_draws(spark, _GROUP_REPS, _GROUPS, _GROUPS, "g").withColumn("g", F.col("g").cast("long"))
-    counts = stats.group_bootstrap(rows, "g", draws)
-    long = metrics.class_report(counts.join(draws.select("rep").distinct(), "rep").transform(_full_matrix), ["rep"])
+    """500 repeats of whole scene groups, as many as there are; groups that are not known are left out."""
+    rows = _classified(spark, folder).filter("scene_group > 0")
+    ids = stats.numbered(rows.select("scene_group").distinct(), "scene_group", "place")
+    groups = ids.count()
+    if not groups:
+        return stats.interval(spark.createDataFrame([], "v double"), "v")
+    draws = stats.lcg_draws(spark, _GROUP_REPS, groups, groups, "place").withColumn("place", F.col("place").cast("long"))
+    counts = stats.group_bootstrap(rows.join(ids, "scene_group"), "place", draws)
+    long = metrics.class_report(_full_matrix(counts), ["rep"])
     return rounded(stats.interval(long.groupBy("rep").agg(F.avg("f1").alias("v")), "v"), "lower", "upper")
 
 
@@ -360,13 +375,13 @@ def vector_stats(spark, folder):
 
 
 @query("""
-WITH h AS (SELECT vec_id AS k, CAST(list_sum([CASE WHEN embedding[i + 1] > 0 THEN 1 << i ELSE 0 END for i in range(20)]) AS BIGINT) AS b FROM embeddings),
+WITH h AS (SELECT vec_id AS k, CAST(array_to_string([CASE WHEN embedding[i + 1] > 0 THEN '1' ELSE '0' END for i in range(64)], '') AS BIT) AS b FROM embeddings),
 heads AS (SELECT b, min(k) AS head FROM h GROUP BY b)
-SELECT x.head AS a, y.head AS b, CAST(bit_count(xor(x.b, y.b)) AS INTEGER) AS distance FROM heads x JOIN heads y ON x.head < y.head AND bit_count(xor(x.b, y.b)) <= 2
+SELECT x.head AS a, y.head AS b, CAST(bit_count(xor(x.b, y.b)) AS INTEGER) AS distance FROM heads x JOIN heads y ON x.head < y.head AND bit_count(xor(x.b, y.b)) <= 6
 UNION ALL SELECT heads.head, h.k, 0 FROM h JOIN heads ON h.b = heads.b WHERE h.k <> heads.head""")
 def near_vector_pairs(spark, folder):
-    rows = table(spark, folder, "embeddings").select("vec_id", images.sign_hash("embedding", 20).alias("bits"))
-    return joins.near_hashes(rows, "vec_id", "bits", 2, width=20)
+    rows = table(spark, folder, "embeddings").select("vec_id", images.sign_hash("embedding").alias("bits"))
+    return joins.near_hashes(rows, "vec_id", "bits", 6)
 
 
 @query("""

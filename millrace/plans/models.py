@@ -37,7 +37,7 @@ def ridge_forecast(spark, folder):
 
 def forest_forecast(spark, folder):
     frame = _frame(spark, folder).persist()
-    return _scores(frame, ml.fit_forest(frame.filter("split <> 'test'"), FEATURES, "delta_target", 3, trees=30), "forest")
+    return _scores(frame, ml.fit_forest(frame.filter("split <> 'test'"), FEATURES, "delta_target", 3), "forest")
 
 
 def logistic_classes(spark, folder):

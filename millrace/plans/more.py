@@ -131,8 +131,8 @@ def feature_importances(spark, folder):
     """Rise of the error when a feature is shuffled, beside the forest's impurity importances."""
     frame = _frame(spark, folder).persist()
     names = ["delta_lag1", "deviation_mean7", "mean_change7"]
-    fitted = ml.fit_forest(frame.filter("split <> 'test'"), names, "delta_target", 10, depth=4, trees=10)
+    fitted = ml.fit_forest(frame.filter("split <> 'test'"), names, "delta_target", 10)
     test = frame.filter("split = 'test'").withColumn("row_id", F.datediff("day", F.lit("1990-01-01").cast("date")).cast("long"))
-    rises = ml.permutation_importance(fitted, test, names, "total", "value_lag1", repeats=2)
+    rises = ml.permutation_importance(fitted, test, names, "total", "value_lag1")
     impurity = spark.createDataFrame(ml.forest_importances(fitted), "feature string, impurity double")
     return rises.join(impurity, "feature")
