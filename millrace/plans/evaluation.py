@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import numbers
-from millrace.operators import compare, images, joins, metrics, quality, series, stats
+from millrace.operators import compare, images, joins, metrics, ml, quality, series, stats
+from millrace.plans import models
 from millrace.plans.reference import DENSE, ORDER_DAYS, calendar_densify, order_days, rounded
 from millrace.sources import files
 from millrace.sources.tables import clean, table
@@ -402,7 +403,9 @@ def manifest_hash(spark, folder):
 
 # --- replay
 
-_THRESHOLD = 4_000_000.0
+#: The 99 % quantile of changes from day to day before 1999.
+_THRESHOLD = """(SELECT quantile_cont(abs(d), 0.99) FROM (SELECT CASE WHEN day - lag(day) OVER (ORDER BY day) = 1 THEN total - lag(total) OVER (ORDER BY day) END AS d
+  FROM days WHERE day < DATE '1999-01-01'))"""
 _REPLAY = f"""{ORDER_DAYS},
 o AS (SELECT 'all' AS series, row_number() OVER (ORDER BY day) AS seq, day, total AS level FROM days),
 p AS (SELECT *, lag(day) OVER (ORDER BY seq) AS pd, lag(level) OVER (ORDER BY seq) AS pl FROM o),
@@ -418,14 +421,83 @@ SELECT series, seq, day AS observation_date, level AS level_cm, quality, round(d
        CASE WHEN coalesce(quality = 'valid' AND abs(delta) > {_THRESHOLD}, false) THEN 'check_measurement_and_context_manually' WHEN quality = 'valid' THEN 'routine_observation'
             ELSE 'check_missing_or_invalid_record' END AS proposed_action FROM h""")
 def replay_actions(spark, folder):
+    return rounded(replay.replay_batch(_observed(spark, folder), _threshold(spark, folder)), "delta_cm", digits=4)
+
+
+def _observed(spark, folder):
     from pyspark.sql import Window
 
     days = order_days(spark, folder).withColumn("seq", F.row_number().over(Window.partitionBy("series").orderBy("day")))
-    observations = days.select("series", F.col("seq").cast("long").alias("seq"), F.col("day").cast("string").alias("date"), F.col("total").alias("level"))
-    return rounded(replay.replay_batch(observations, _THRESHOLD), "delta_cm", digits=4)
+    return days.select("series", F.col("seq").cast("long").alias("seq"), F.col("day").cast("string").alias("date"), F.col("total").alias("level"))
+
+
+def _threshold(spark, folder):
+    changes = series.continuity_diff(order_days(spark, folder).filter("day < DATE '1999-01-01'"), ["series"], "day", "total")
+    row = compare.quantiles(changes.select(F.abs("delta").alias("d")), [], "d", {"q": 0.99}).first()
+    return row["q"] if row and row["q"] is not None else float("inf")
 
 
 @query(f"""WITH {_REPLAY} SELECT count(*) AS n_rows, count(*) FILTER (WHERE quality = 'valid' AND held >= 7) AS predictions,
 count(*) FILTER (WHERE quality = 'valid' AND abs(delta) > {_THRESHOLD}) AS flags, count(*) FILTER (WHERE quality <> 'valid') AS quality_failures FROM h""")
 def replay_summary(spark, folder):
     return replay.summary(replay_actions(spark, folder))
+
+
+#: Input of the fault queries: days from 2022-01-01 with the level 200 + i, and in each series one of the reference's four faults.
+_FAULTS = """b AS (SELECT s.series, CAST(i AS BIGINT) AS seq,
+    CASE WHEN s.series = 'malformed' AND i = 18 THEN 'bad-date' ELSE strftime(DATE '2022-01-01' + CAST(i AS INTEGER), '%Y-%m-%d') END AS date,
+    CASE WHEN s.series = 'missing' AND i = 8 THEN 'NaN' WHEN s.series = 'malformed' AND i = 8 THEN 'bad-value' WHEN s.series = 'boundary' AND i = 1 THEN '231' ELSE CAST(200 + i AS VARCHAR) END AS level
+  FROM (VALUES ('gap'), ('missing'), ('malformed'), ('boundary')) s(series), range(24) r(i) WHERE NOT (s.series = 'gap' AND i = 8)),
+o AS (SELECT series, seq, TRY_CAST(date AS DATE) AS day, CASE WHEN isfinite(TRY_CAST(level AS DOUBLE)) THEN TRY_CAST(level AS DOUBLE) END AS level FROM b),
+p AS (SELECT *, lag(day) OVER w AS pd, lag(level) OVER w AS pl, row_number() OVER w AS place FROM o WINDOW w AS (PARTITION BY series ORDER BY seq)),
+q AS (SELECT *, coalesce(day - pd = 1, false) AS nd, CASE WHEN day IS NULL THEN 'invalid_date' WHEN level IS NULL THEN 'missing_or_invalid'
+      WHEN place > 1 AND NOT coalesce(day - pd = 1, false) THEN 'date_gap' ELSE 'valid' END AS quality FROM p),
+r AS (SELECT *, sum(CAST(NOT nd OR level IS NULL OR day IS NULL AS INTEGER)) OVER (PARTITION BY series ORDER BY seq) AS run FROM q),
+h AS (SELECT *, count(CASE WHEN day IS NOT NULL THEN level END) OVER (PARTITION BY series, run ORDER BY seq) AS held, CASE WHEN nd THEN level - pl END AS delta FROM r)"""
+
+
+def _faults(spark):
+    from datetime import date, timedelta
+
+    change = {("malformed", 18, 0): "bad-date", ("missing", 8, 1): "NaN", ("malformed", 8, 1): "bad-value", ("boundary", 1, 1): "231"}
+    rows = []
+    for name in ("gap", "missing", "malformed", "boundary"):
+        for i in range(24):
+            if (name, i) != ("gap", 8):
+                cells = ((date(2022, 1, 1) + timedelta(days=i)).isoformat(), str(200 + i))
+                rows.append((name, i, *[change.get((name, i, k), c) for k, c in enumerate(cells)]))
+    return spark.createDataFrame(rows, "series string, seq long, date string, level string")
+
+
+@query(f"""WITH {_FAULTS}
+SELECT series, seq, day AS observation_date, level AS level_cm, quality, delta AS delta_cm, coalesce(quality = 'valid' AND abs(delta) > 31, false) AS statistical_flag,
+       CAST(day + 1 AS DATE) AS target_date, CASE WHEN quality = 'valid' AND held >= 7 THEN level END AS prediction,
+       CASE WHEN coalesce(quality = 'valid' AND abs(delta) > 31, false) THEN 'check_measurement_and_context_manually' WHEN quality = 'valid' THEN 'routine_observation'
+            ELSE 'check_missing_or_invalid_record' END AS proposed_action FROM h""")
+def replay_faults(spark, folder):
+    """The stateful stream over a gap, a missing value, malformed cells and a change at the threshold."""
+    return replay.replay_files(_faults(spark), 31.0)
+
+
+@query(f"WITH {ORDER_DAYS} SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS differences FROM days")
+def replay_parity(spark, folder):
+    """Stream against batch over all days, with a fitted model: rows, and rows that differ."""
+    fitted, threshold = _fitted(spark, folder), _threshold(spark, folder)
+    observed = _observed(spark, folder)
+    return replay.parity(replay.replay_batch(observed, threshold, fitted), replay.replay_files(observed, threshold, fitted, 3))
+
+
+def _fitted(spark, folder):
+    frame = models._frame(spark, folder)
+    return ml.fit_ridge(frame.filter("split <> 'test'"), models.FEATURES, "delta_target", 10.0)
+
+
+@query(f"""WITH {_REPLAY} SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS differences FROM h
+WHERE quality = 'valid' AND held >= 7 AND day + 1 IN (SELECT day FROM days)""")
+def replay_batch_parity(spark, folder):
+    """Forecasts of the replay against those of the batch features on the same dates: rows, and rows off by more than 1e-6 of the level."""
+    fitted = _fitted(spark, folder)
+    actions = replay.replay_batch(_observed(spark, folder), _threshold(spark, folder), fitted).filter("prediction IS NOT NULL").select("target_date", "prediction")
+    batch = fitted.predict(models._frame(spark, folder), "batch", "value_lag1").select(F.col("day").alias("target_date"), "batch")
+    both = actions.join(batch, "target_date")
+    return both.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.abs(F.col("prediction") - F.col("batch")) > 1e-6 * F.abs("batch")).alias("differences"))

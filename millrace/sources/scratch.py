@@ -24,7 +24,7 @@ def shared_folder(spark: SparkSession) -> str:
     folder = "file://" + tempfile.mkdtemp(prefix="millrace-")
     spark.conf.set("spark.checkpoint.dir", folder)
     sc.setCheckpointDir(folder)
-    _delete_at_exit(spark, folder)
+    delete_at_exit(spark, folder)
     return folder
 
 
@@ -33,7 +33,7 @@ def _path(spark: SparkSession, folder: str):
     return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def _delete_at_exit(spark: SparkSession, folder: str) -> None:
+def delete_at_exit(spark: SparkSession, folder: str) -> None:
     path, fs = _path(spark, folder)
     fs.deleteOnExit(path)
 
@@ -62,5 +62,5 @@ def write_cut(df: DataFrame, name: str, **observed) -> Written:
     else:
         out = df
     out.write.parquet(folder)
-    _delete_at_exit(spark, folder)
+    delete_at_exit(spark, folder)
     return Written(spark, folder, df.schema, seen.get if seen else {})

@@ -83,6 +83,30 @@ def test_stream_gives_the_same_rows(spark, tmp_path, model):
     assert (got["n_rows"], got["differences"]) == (len(rows), 0)
 
 
+def test_a_fitted_model_and_an_unknown_one(spark, tmp_path):
+    from millrace.operators import ml
+    from millrace.streaming.replay import past_features
+
+    days = spark.createDataFrame([("s", dt.date(2020, 1, 1) + dt.timedelta(days=i), 200.0 + i + (i * 7) % 5) for i in range(120)], "series string, day date, total double")
+    from millrace.functions import numbers
+    from millrace.operators import series as s
+    from pyspark.sql import functions as F
+
+    names = list(past_features(F.lit(None).cast("array<double>"), F.current_date()))
+    frame = s.island_features(days, ["series"], "day", "total").withColumns(numbers.cyclic_calendar(F.col("day"))).dropna(subset=["deviation_mean7", "mean_change7", "delta_lag3"])
+    fitted = ml.fit_ridge(frame, names, "delta_target", 1.0)
+    rows = [tuple(r) for r in base()]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    batch = replay.replay_batch(frame, 31.0, fitted)
+    assert forecast_rows([r.asDict() for r in batch.orderBy("seq").collect()]) == list(range(6, 24))
+    got = replay.parity(batch, replay.replay_files(frame, 31.0, fitted, 3)).first()
+    assert (got["n_rows"], got["differences"]) == (24, 0)
+    assert {r["prediction"] for r in batch.collect()} != {r["prediction"] for r in replay.replay_batch(frame, 31.0).collect()}
+    for run_ in (replay.replay_batch, replay.replay_files):
+        with pytest.raises(ValueError):
+            run_(frame, 31.0, "persistense")
+
+
 def test_daily_stream(spark, tmp_path):
     rows = [("a", dt.datetime(2024, 1, d, h), float(d)) for d in range(1, 8) for h in (1, 5)]
     spark.createDataFrame(rows, "k string, ts timestamp, v double").write.parquet(str(tmp_path / "in"))
