@@ -82,27 +82,38 @@ def completeness_sensitivity(daily: DataFrame, key: str, members: list, date: st
     return ranks.same_keys(means, ranks.quantiles(both, by, value, {"median_value": 0.5}), by)
 
 
-def cleaning_audit(df: DataFrame, by: str, key: list[str], time: Column, value: str, raw: str, factor: float, first: str, last: str) -> DataFrame:
-    """Rows dropped by each cleaning step in order: invalid, unit mismatch, duplicate, outside the dates.
-
-    A unit mismatch is raw * factor not close to value. Duplicates are repeats of key among
-    the rows left; which row stays does not matter to the counts.
+def cleaning_audit(
+    df: DataFrame, by: str, key: list[str], time: Column, value: str, raw: str, factor: float | Column, first: str, last: str,
+    selected: Column | None = None, station: str | None = None, local: Column | None = None,
+) -> DataFrame:
+    """Rows dropped by each cleaning step in order: not selected, invalid, unit mismatch, duplicate, outside the dates.
+
+    A unit mismatch is raw * factor not close to value (a null factor is one). Duplicates are repeats of key among
+    the rows left; of a key's times the first counts. Of the retained rows also the station-days
+    (station: its column, the first of key by default; local: the date of a time in column _t, UTC by default), and how many of these have MIN_HOURS different times.
     """
-    rows = df.withColumn("_t", time)
+    whole = df.withColumn("_selected", F.coalesce(selected, F.lit(False)) if selected is not None else F.lit(True))
+    rows = whole.withColumn("_t", time)
     bad = invalid_reading(F.col("_t"), F.col(value))
     unit = ~F.coalesce(is_close(F.col(raw) * factor, F.col(value), 1e-6, 1e-3), F.lit(False))
-    stage = F.when(bad, 1).when(unit, 2).otherwise(3)
+    stage = F.when(~F.col("_selected"), 0).when(bad, 1).when(unit, 2).otherwise(3)
     inside = F.to_date("_t").between(F.lit(first).cast("date"), F.lit(last).cast("date"))
     rows = rows.withColumn("_stage", stage).withColumn("_inside", F.col("_stage").eqNullSafe(3) & inside)
     # equal keys meet in one row per key and group: no window over a hot group
     per_key = rows.groupBy(by, F.when(F.col("_stage") == 3, F.struct(*key)).alias("_key"), "_stage").agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.col("_inside").cast("int")).alias("inside")
+        F.count(F.lit(1)).alias("n"), F.max(F.col("_inside").cast("int")).alias("inside"), F.min("_t").alias("_t"), F.min(station or key[0]).alias("_station")
     )
+    days = per_key.filter("_stage = 3 AND inside = 1").groupBy(by, "_station", (local if local is not None else F.to_date("_t")).alias("_day"))
+    days = days.agg(F.countDistinct("_t").alias("_hours")).groupBy(by)
+    days = days.agg(F.count(F.lit(1)).alias("station_days"), F.count_if(F.col("_hours") >= MIN_HOURS).alias("valid_station_days"))
     third = F.col("_stage") == 3
-    return per_key.groupBy(by).agg(
+    counts = per_key.groupBy(by).agg(
         F.sum("n").alias("raw_rows"),
+        F.coalesce(F.sum(F.when(F.col("_stage") > 0, F.col("n"))), F.lit(0).cast("long")).alias("selected_rows"),
         F.coalesce(F.sum(F.when(F.col("_stage") == 1, F.col("n"))), F.lit(0).cast("long")).alias("invalid_rows"),
         F.coalesce(F.sum(F.when(F.col("_stage") == 2, F.col("n"))), F.lit(0).cast("long")).alias("unit_rows"),
         F.coalesce(F.sum(F.when(third, F.col("n") - 1)), F.lit(0).cast("long")).alias("duplicate_rows"),
         F.coalesce(F.sum(F.when(third, F.col("inside"))), F.lit(0)).cast("long").alias("retained_rows"),
     )
+    out = ranks.same_keys(counts, days, [by], "left")
+    return out.fillna(0, ["station_days", "valid_station_days"])

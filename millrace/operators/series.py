@@ -73,8 +73,11 @@ def chronological_split(date: Column, validation_from: str, test_from: str) -> C
     )
 
 
-def baselines(df: DataFrame, keys: list[str], date: str, value: str) -> DataFrame:
-    """Forecasts that need no fit: persistence, the value a week ago, and drift."""
+def baselines(df: DataFrame, keys: list[str], date: str, value: str, train: Column | None = None) -> DataFrame:
+    """Forecasts that need no fit: persistence, the value a week ago, drift, and the mean of the rows where train holds."""
     order = Window.partitionBy(*keys).orderBy(date)
     one, two, seven = (F.lag(value, k).over(order) for k in (1, 2, 7))
-    return df.withColumns({"persistence": one, "seasonal_naive7": seven, "drift": 2 * one - two})
+    out = {"persistence": one, "seasonal_naive7": seven, "drift": 2 * one - two}
+    if train is not None:
+        out["train_mean"] = F.avg(F.when(train, F.col(value))).over(Window.partitionBy(*keys))
+    return df.withColumns(out)

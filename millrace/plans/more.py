@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import time
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions import numbers, text
 from millrace.functions.times import readable_time
-from millrace.operators import joins, ml, series
+from millrace.operators import joins, metrics, ml, series
 from millrace.plans.models import FEATURES, _frame
 from millrace.plans.reference import _TIME_SQL, ORDER_DAYS, order_days, rounded
-from millrace.sources import files
+from millrace.sources import files, scratch
 from millrace.sources.tables import clean, table
 
 QUERIES, ORACLE = {}, {}
+#: Parameters of the air tables (fixed values).
+PARAMETERS = ("pm10", "pm2_5", "no2", "so2", "co", "h2s", "o3")
 #: Reference post of each city (fixed values).
 REFERENCE = {"Atyrau": "136", "Aktau": "140", "Aktobe": "117"}
 
@@ -91,34 +96,113 @@ def polished_text(spark, folder):
     return table(spark, folder, "documents").filter("text IS NOT NULL").select("doc_id", F.md5(text.polish(F.col("text"))).alias("polished"))
 
 
-@query()
+_TABLES = sorted(
+    ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "air_hourly", "air_daily", "air_pairs", "station_metadata"]
+    + ["vehicle_objects", "image_pairs", "split_targets", "eval_items", "container_sizes"]
+)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}.parquet', '{'measurements' if n.startswith('air_') else 'tables'}', {str(n != 'nation').lower()})" for n in _TABLES) + ") t(file, purpose, matches)")
 def lock_check(spark, folder):
-    """Files of a small folder against a lock made of their own hashes, one of them wrong."""
-    found = files.manifest(spark, f"{folder}/{{nation,region}}.parquet").withColumn("file", F.element_at(F.split("path", "/"), -1))
-    lock = found.select("file", F.when(F.col("file") == "nation.parquet", "0").otherwise(F.col("sha256")).alias("expected"))
-    return joins.against_lock(found, lock, "file", "sha256", "expected").select("file", "matches")
+    """Every file against a stored lock file, in which one hash was changed afterwards."""
+    kinds = {r"/air_[a-z]+[.]parquet": "measurements", r"[.]parquet": "tables"}
+    found = files.manifest(spark, f"{folder}/*.parquet", purposes=kinds).withColumn("file", F.regexp_extract("path", r"([^/]+[.]parquet)$", 1))
+    place = scratch.new_folder(spark, "lock")
+    lock = found.select("file", "purpose", F.when(F.col("file") == "nation.parquet", "0").otherwise(F.col("sha256")).alias("expected"))
+    files.write_csv(lock, place, single=True)
+    stored = spark.read.option("header", True).schema("file string, purpose string, expected string").csv(place)
+    return joins.against_lock(found, stored, "file", "sha256", "expected").select("file", "purpose", "matches")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE starts_with(p_brand, 'Brand#1')")
+def prefix_filter(spark, folder):
+    return table(spark, folder, "part").filter(text.has_prefix(F.col("p_brand"), "Brand#1")).select("p_partkey", "p_name")
+
+
+@query("SELECT p_partkey, '/parts/' || p_name AS path FROM part")
+def unquoted_paths(spark, folder):
+    url = F.concat(F.lit("https://example.org/parts/"), F.replace("p_name", F.lit(" "), F.lit("%20")), F.lit("?v=1"))
+    return table(spark, folder, "part").select("p_partkey", text.unquoted_path(url).alias("path"))
+
+
+@query("SELECT c_custkey, c_name, c_mktsegment, c_acctbal FROM customer")
+def csv_round_trip(spark, folder):
+    """A table written as compressed CSV with a byte-order mark, and read back."""
+    rows = table(spark, folder, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal")
+    place = scratch.new_folder(spark, "customers")
+    files.write_csv(rows, place, gzip=True, mark=True)
+    return spark.read.option("header", True).schema(rows.schema).csv(place)
+
+
+_LEVEL_SQL = "CAST(100 + (dayofyear(date) * 7 + year(date)) % 800 AS INTEGER)"
+
+
+@query(f"""SELECT CAST(year(date) AS INTEGER) AS year, date, {_LEVEL_SQL} AS level_cm, CASE WHEN day(date) % 9 = 0 THEN '*' ELSE '' END AS marks
+FROM (SELECT CAST(d AS DATE) AS date FROM generate_series(DATE '1996-01-01', DATE '2023-12-31', INTERVAL 1 DAY) t(d))""")
+def yearbook_levels(spark, folder):
+    """Daily levels read from 28 yearbook pages that are written here from a rule."""
+    days = spark.sql("SELECT explode(sequence(DATE'1996-01-01', DATE'2023-12-31')) AS date")
+    cells = days.select("date", F.concat(F.expr("CAST(100 + (dayofyear(date) * 7 + year(date)) % 800 AS string)"), F.when(F.day("date") % 9 == 0, " *").otherwise("")).alias("cell"))
+    lines = cells.groupBy(F.year("date").alias("year"), F.day("date").alias("d")).agg(F.sort_array(F.collect_list(F.struct(F.month("date"), "cell"))).alias("c"))
+    lines = lines.select("year", "d", F.concat(F.col("d").cast("string"), F.lit(" "), F.array_join(F.transform("c", lambda x: x["cell"]), " ")).alias("line"))
+    pages = lines.groupBy("year").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("d", "line"))), lambda x: x["line"]), "\n").alias("body"))
+    head, tail = "Post 1.2\n1 2 3 4 5 6 7 8 9 10 11 12\n", "\nmean " + " ".join(str(300 + m) for m in range(12))
+    return files.level_pages(pages.select("year", F.concat(F.lit(head), "body", F.lit(tail)).alias("text")))[0]
+
+
+def _search(frame):
+    """(trials with validation errors, the fitted models): baselines, four ridges and two forests, in the order that breaks ties."""
+    train, validation = frame.filter("split = 'train'"), frame.filter("split = 'validation'")
+    rows = [("persistence", None, 0.0), ("drift", None, 0.0)]
+    fitted = []
+    for kind, values in (("ridge", (0.1, 1.0, 10.0, 100.0)), ("forest", (3, 10))):
+        for value in values:
+            began = time.perf_counter()
+            model = ml.fit_ridge(train, FEATURES, "delta_target", value) if kind == "ridge" else ml.fit_forest(train, FEATURES, "delta_target", value)
+            rows.append((kind, float(value), time.perf_counter() - began))
+            fitted.append((str(len(rows) - 1), model))
+    spark = frame.sparkSession
+    n = train.count()
+    trials = spark.createDataFrame([(i, str(i), m, p, s, n) for i, (m, p, s) in enumerate(rows)], "trial int, name string, model string, parameter double, fit_seconds double, train_rows long")
+    drift = validation.select("total", F.col("value_lag1").alias("0"), (F.col("value_lag1") + F.col("delta_lag1")).alias("1"))
+    plain = metrics.regression_metrics(metrics.long_predictions(drift, [], "total", ["0", "1"]), ["model"])
+    scores = plain.unionByName(ml.trial_metrics(validation, fitted, "total", "value_lag1")).withColumnRenamed("model", "name")
+    return trials.join(scores, "name").drop("name")
 
 
 @query()
 def validation_log(spark, folder):
-    """Every candidate with its parameter, training rows and validation error; the order breaks ties."""
-    frame = _frame(spark, folder).persist()
-    train, validation = frame.filter("split = 'train'"), frame.filter("split = 'validation'")
-    trials = [(f"ridge_{n}", ml.fit_ridge(train, FEATURES, "delta_target", a)) for n, a in enumerate((0.1, 1.0, 10.0))]
-    scores = ml.trial_metrics(validation, trials, "total", "value_lag1")
-    grid = spark.createDataFrame([(n, t[0], t[1].parameter) for n, t in enumerate(trials)], "trial int, model string, parameter double")
-    return rounded(grid.join(scores, "model"), "mae", "rmse", "r2")
+    """Every candidate of all families with its parameter, seconds of the fit, training rows and validation error."""
+    return rounded(_search(_frame(spark, folder)), "mae", "rmse", "r2")
+
+
+@query()
+def frozen_selection(spark, folder):
+    """The choice on the validation year, written down before the test, and the test errors of all families refitted on train and validation."""
+    frame = _frame(spark, folder)
+    trials = scratch.write_cut(_search(frame), "trials").df
+    frozen = trials.groupBy("model").agg(F.min_by("parameter", F.struct("mae", "trial")).alias("parameter"), F.min(F.struct("mae", "trial")).alias("best"))
+    frozen = scratch.write_cut(frozen.withColumn("selected", F.col("best") == F.min("best").over(Window.partitionBy())), "frozen").df
+    kept = {r["model"]: r["parameter"] for r in frozen.collect()}
+    fit, test = frame.filter("split <> 'test'"), frame.filter("split = 'test'")
+    models = [("ridge", ml.fit_ridge(fit, FEATURES, "delta_target", kept["ridge"])), ("forest", ml.fit_forest(fit, FEATURES, "delta_target", int(kept["forest"])))]
+    out = test.withColumns({"persistence": F.col("value_lag1"), "drift": F.col("value_lag1") + F.col("delta_lag1")})
+    for name, model in models:
+        out = model.predict(out, name, "value_lag1")
+    scores = metrics.regression_metrics(metrics.long_predictions(out, [], "total", ["persistence", "drift", "ridge", "forest"]), ["model"])
+    return rounded(scores.join(frozen.select("model", "parameter", "selected"), "model"), "mae", "rmse", "r2")
 
 
 @query()
 def frozen_transfer(spark, folder):
-    """The frozen penalty, fitted anew on other series: one ridge for each of three parameters of the air table."""
-    rows = clean(spark, folder, "air_daily").filter("value_ugm3 IS NOT NULL AND parameter IN ('pm10', 'no2', 'co')")
+    """The frozen penalty, fitted anew on other series: one ridge for each parameter of the air table."""
+    rows = clean(spark, folder, "air_daily").filter("value_ugm3 IS NOT NULL AND parameter IS NOT NULL")
     days = rows.groupBy(F.col("parameter").alias("series"), F.col("local_date").alias("day")).agg(F.avg("value_ugm3").alias("total"))
     frame = series.rolling(series.lags(series.densify(days, ["series"], "day"), ["series"], "day", "total", [1, 2, 7]), ["series"], "day", "total", {7: 3}, {})
-    frame = frame.filter("total IS NOT NULL").withColumn("split", series.chronological_split(F.col("day"), "2023-01-01", "2024-01-01")).persist()
+    frame = frame.filter("total IS NOT NULL").withColumn("split", series.chronological_split(F.col("day"), "2023-01-01", "2024-01-01"))
+    frame = scratch.write_cut(frame, "transfer").df
     out = None
-    for name in ("pm10", "no2", "co"):
+    for name in PARAMETERS:
         own = frame.filter(F.col("series") == name)
         fitted = ml.fit_ridge(own.filter("split <> 'test'"), ["lag1", "lag2", "lag7", "rolling_mean7"], "total", 10.0)
         part = fitted.predict(own.filter("split = 'test'"), "ridge", floor=True).select("series", "day", "total", "ridge")
@@ -129,7 +213,7 @@ def frozen_transfer(spark, folder):
 @query()
 def feature_importances(spark, folder):
     """Rise of the error when a feature is shuffled, beside the forest's impurity importances."""
-    frame = _frame(spark, folder).persist()
+    frame = _frame(spark, folder)
     names = ["delta_lag1", "deviation_mean7", "mean_change7"]
     fitted = ml.fit_forest(frame.filter("split <> 'test'"), names, "delta_target", 10)
     test = frame.filter("split = 'test'").withColumn("row_id", F.datediff("day", F.lit("1990-01-01").cast("date")).cast("long"))

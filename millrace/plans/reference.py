@@ -11,6 +11,8 @@ from millrace.operators import compare, daily, ranks, series
 from millrace.sources.tables import clean, table
 
 QUERIES, ORACLE = {}, {}
+#: All event types of the table.
+EVENTS = ["click", "error", "purchase", "signup", "view"]
 GATE = 22
 #: Daily limits by parameter: guideline and national, µg/m³ (fixed values).
 LIMITS = {
@@ -118,14 +120,12 @@ def quantiles_p90_p99(spark, folder):
 
 
 @query("""
-WITH d AS (SELECT CAST(ts AS DATE) AS day, event_type, avg(value) AS v FROM events WHERE event_type IN ('click', 'view', 'purchase') GROUP BY ALL),
-w AS (SELECT day, max(v) FILTER (WHERE event_type = 'click') AS click, max(v) FILTER (WHERE event_type = 'view') AS view,
-             max(v) FILTER (WHERE event_type = 'purchase') AS purchase FROM d GROUP BY day)
-SELECT day, round(click, 6) AS click, round(view, 6) AS view, round(purchase, 6) AS purchase FROM w
-WHERE click IS NOT NULL AND view IS NOT NULL AND purchase IS NOT NULL""")
+WITH d AS (SELECT CAST(ts AS DATE) AS day, event_type, avg(value) AS v FROM events WHERE event_type IS NOT NULL GROUP BY ALL),
+w AS (SELECT day, """ + ", ".join(f"max(v) FILTER (WHERE event_type = '{e}') AS {e}" for e in EVENTS) + """ FROM d GROUP BY day)
+SELECT day, """ + ", ".join(f"round({e}, 6) AS {e}" for e in EVENTS) + " FROM w WHERE " + " AND ".join(f"{e} IS NOT NULL" for e in EVENTS))
 def common_dates_compare(spark, folder):
     rows = clean(spark, folder, "events").withColumn("day", F.to_date("ts"))
-    return rounded(compare.common_dates(rows, "day", "event_type", ["click", "view", "purchase"], "value"), "click", "view", "purchase")
+    return rounded(compare.common_dates(rows, "day", "event_type", EVENTS, "value"), *EVENTS)
 
 
 @query("SELECT CAST(year(o_orderdate) AS INTEGER) AS year, " + ", ".join(f"round(avg(o_totalprice) FILTER (WHERE month(o_orderdate) = {m}), 4) AS m{m}" for m in range(1, 13)) + " FROM orders GROUP BY 1")
@@ -179,34 +179,43 @@ def cross_measure_flags(spark, folder):
 
 @query("""
 WITH d AS (SELECT CAST(ts AS DATE) AS day, event_type, avg(value) AS v, count(DISTINCT date_trunc('hour', ts)) AS h FROM events
-           WHERE event_type IN ('click', 'view', 'purchase') GROUP BY ALL),
+           WHERE event_type IS NOT NULL GROUP BY ALL),
 x AS (SELECT m.min_hours, d.* FROM d, (VALUES (20), (23)) m(min_hours) WHERE h >= min_hours),
-c AS (SELECT min_hours, day FROM x GROUP BY ALL HAVING count(DISTINCT event_type) = 3)
+c AS (SELECT min_hours, day FROM x GROUP BY ALL HAVING count(DISTINCT event_type) = 5)
 SELECT x.min_hours, event_type, count(DISTINCT x.day) AS common_days, round(avg(v), 6) AS mean_value, round(median(v), 6) AS median_value
 FROM x JOIN c ON x.min_hours = c.min_hours AND x.day = c.day GROUP BY ALL""")
 def completeness_sensitivity(spark, folder):
     days = daily.gated_daily_means(clean(spark, folder, "events"), ["event_type"], F.col("ts"), "value", F.to_date("ts"))
-    out = daily.completeness_sensitivity(days, "event_type", ["click", "view", "purchase"], "local_date", "mean_value", "n_hours", [20, 23])
+    out = daily.completeness_sensitivity(days, "event_type", EVENTS, "local_date", "mean_value", "n_hours", [20, 23])
     return rounded(out, "mean_value", "median_value")
 
 
 @query(f"""
-WITH r AS (SELECT parameter, station_id, reading_id, value_ugm3 AS v, raw_value AS raw, {_TIME_SQL} AS t FROM air_hourly WHERE raw_unit IN ('mg/m3', 'мг/м³')),
-s AS (SELECT *, CASE WHEN t IS NULL OR v IS NULL OR isnan(v) OR isinf(v) OR v < 0 THEN 1
-                     WHEN raw IS NULL OR NOT (abs(raw * 1000 - v) <= 0.001 + 0.000001 * abs(v)) THEN 2 ELSE 3 END AS st FROM r),
-k AS (SELECT parameter, st, station_id, reading_id, count(*) AS n, max(CAST(CAST(t AT TIME ZONE 'UTC' AS DATE) BETWEEN DATE '2018-01-01' AND DATE '2024-12-31' AS INTEGER)) AS inside
+WITH r AS (SELECT parameter, station_id, reading_id, value_ugm3 AS v, raw_value AS raw, {_TIME_SQL} AS t, coalesce(trim(city) IN ('Atyrau', 'Aktau'), false) AS chosen,
+           CASE WHEN raw_unit IN ('mg/m3', 'мг/м³') THEN 1000.0 WHEN raw_unit IN ('µg/m3', 'ug/m3') THEN 1.0 END AS factor FROM air_hourly),
+s AS (SELECT *, CASE WHEN NOT chosen THEN 0 WHEN t IS NULL OR v IS NULL OR isnan(v) OR isinf(v) OR v < 0 THEN 1
+                     WHEN raw IS NULL OR factor IS NULL OR NOT (abs(raw * factor - v) <= 0.001 + 0.000001 * abs(v)) THEN 2 ELSE 3 END AS st FROM r),
+k AS (SELECT parameter, st, station_id, reading_id, count(*) AS n, min(t) AS t, max(CAST(CAST(t AT TIME ZONE 'UTC' AS DATE) BETWEEN DATE '2018-01-01' AND DATE '2024-12-31' AS INTEGER)) AS inside
       FROM s WHERE st = 3 GROUP BY ALL),
-a AS (SELECT parameter, count(*) AS raw_rows, count(*) FILTER (WHERE st = 1) AS invalid_rows, count(*) FILTER (WHERE st = 2) AS unit_rows FROM s GROUP BY ALL)
-SELECT a.parameter, raw_rows, invalid_rows, unit_rows, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicate_rows, CAST(coalesce(sum(inside), 0) AS BIGINT) AS retained_rows
-FROM a LEFT JOIN k ON a.parameter = k.parameter GROUP BY ALL""")
+a AS (SELECT parameter, count(*) AS raw_rows, count(*) FILTER (WHERE st > 0) AS selected_rows, count(*) FILTER (WHERE st = 1) AS invalid_rows, count(*) FILTER (WHERE st = 2) AS unit_rows FROM s GROUP BY ALL),
+c AS (SELECT parameter, sum(n - 1) AS duplicate_rows, sum(inside) AS retained_rows FROM k GROUP BY ALL),
+d AS (SELECT parameter, station_id, CAST((t + INTERVAL 5 HOUR) AT TIME ZONE 'UTC' AS DATE) AS day, count(DISTINCT t) AS h FROM k WHERE inside = 1 GROUP BY ALL),
+e AS (SELECT parameter, count(*) AS station_days, count(*) FILTER (WHERE h >= 18) AS valid_station_days FROM d GROUP BY ALL)
+SELECT a.parameter, raw_rows, selected_rows, invalid_rows, unit_rows, CAST(coalesce(duplicate_rows, 0) AS BIGINT) AS duplicate_rows, CAST(coalesce(retained_rows, 0) AS BIGINT) AS retained_rows,
+       coalesce(station_days, 0) AS station_days, coalesce(valid_station_days, 0) AS valid_station_days
+FROM a LEFT JOIN c ON a.parameter IS NOT DISTINCT FROM c.parameter LEFT JOIN e ON a.parameter IS NOT DISTINCT FROM e.parameter""")
 def cleaning_audit(spark, folder):
-    rows = table(spark, folder, "air_hourly").filter(F.col("raw_unit").isin("mg/m3", "мг/м³"))
-    return daily.cleaning_audit(rows, "parameter", ["station_id", "reading_id"], readable_time("datetime_utc"), "value_ugm3", "raw_value", 1000.0, "2018-01-01", "2024-12-31")
+    rows = table(spark, folder, "air_hourly")
+    unit = F.when(F.col("raw_unit").isin("mg/m3", "мг/м³"), 1000.0).when(F.col("raw_unit").isin("µg/m3", "ug/m3"), 1.0)
+    local = F.to_date(F.expr("_t + INTERVAL 5 HOURS"))
+    chosen = F.trim("city").isin("Atyrau", "Aktau")
+    keys = ["station_id", "reading_id"]
+    return daily.cleaning_audit(rows, "parameter", keys, readable_time("datetime_utc"), "value_ugm3", "raw_value", unit, "2018-01-01", "2024-12-31", chosen, local=local)
 
 
-@query("SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS n_rows, count(*) FILTER (WHERE {c} IS NULL) AS n_null FROM vehicle_objects" for c in ("object_id", "image_id", "scene_group", "split", "vehicle_class")) + ")")
+@query("SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS n_rows, count(*) FILTER (WHERE {c} IS NULL) AS n_null FROM vehicle_objects" for c in ("object_id", "image_id", "scene_group", "vehicle_class", "category_id", "iscrowd", "license_id", "image_width", "image_height", "bbox_x", "bbox_y", "bbox_width", "bbox_height", "crop_path", "image_path", "image_sha256", "image_phash", "split")) + ")")
 def null_profile(spark, folder):
-    return compare.null_profile(table(spark, folder, "vehicle_objects").select("object_id", "image_id", "scene_group", "split", "vehicle_class"))
+    return compare.null_profile(table(spark, folder, "vehicle_objects"))
 
 
 @query(f"WITH {DENSE} SELECT series, day, total FROM dense")

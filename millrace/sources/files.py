@@ -8,17 +8,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.sources.tables import spread
+
 HOURLY = "datetime_utc string, station_id string, station_name string, city string, lat double, lon double, value_ugm3 double, raw_value double, raw_unit string"
 
 
 def read_hourly_csv(spark: SparkSession, path: str, cities: list[str] | None = None) -> DataFrame:
     """Hourly archives, one file per parameter: the parameter is taken from the file's name.
 
-    gzip files are read whole by one task each, so the rows are spread before further work.
+    gzip files are read whole by one task each, so the rows left are spread before further work.
     """
     rows = spark.read.schema(HOURLY).option("header", True).csv(path)
     rows = rows.withColumn("parameter", F.regexp_extract(F.col("_metadata.file_name"), r"([a-z0-9_]+?)[.]csv", 1))
-    return rows.filter(F.col("city").isin(cities)) if cities else rows
+    return spread(rows.filter(F.col("city").isin(cities)) if cities else rows)
 
 
 def read_columnar_json(spark: SparkSession, path: str, block: str, schema: str) -> DataFrame:
@@ -46,10 +48,16 @@ def eligible(annotations: DataFrame, images: DataFrame, licenses: list[int], sid
     return annotations.filter(box).join(allowed, "image_id")
 
 
-def manifest(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """(path, bytes, sha256) of files; contents are hashed where they are read."""
+def manifest(spark: SparkSession, path: str, recursive: bool = True, purposes: dict[str, str] | None = None) -> DataFrame:
+    """(path, purpose, bytes, sha256) of files; contents are hashed where they are read.
+
+    purposes: {regular expression of the path: purpose}, the first that matches; else null.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
-    return reader.load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    purpose = F.lit(None).cast("string")
+    for pattern, name in reversed(list((purposes or {}).items())):
+        purpose = F.when(F.col("path").rlike(pattern), name).otherwise(purpose)
+    return reader.load(path).select("path", purpose.alias("purpose"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def canonical_hash(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -73,9 +81,12 @@ def merge_registers(parts: list[tuple[DataFrame, dict[str, str]]], keys: list[st
     return merged.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_r")).select(*keys, "_r.*")
 
 
-def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
-    """CSV with a header; single only for small reports."""
-    (df.coalesce(1) if single else df).write.mode("overwrite").option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, single: bool = False, gzip: bool = False, mark: bool = False) -> None:
+    """CSV with a header; single only for small reports. mark: each file begins with a byte-order mark, for spreadsheets."""
+    if mark and df.columns:
+        df = df.toDF("\ufeff" + df.columns[0], *df.columns[1:])
+    writer = (df.coalesce(1) if single else df).write.mode("overwrite").option("header", True)
+    writer.option("compression", "gzip" if gzip else "none").csv(path)
 
 
 def write_feature_table(df: DataFrame, path: str) -> None:
@@ -95,11 +106,20 @@ def markdown_cell(x: Column, kind: str) -> Column:
     return F.coalesce(text.get(kind, x.cast("string")), F.lit("—"))
 
 
-def markdown_table(df: DataFrame, kinds: dict[str, str]) -> list[str]:
-    """Lines of a markdown table of a small report, rows in the frame's order."""
-    cells = [markdown_cell(F.col(c), kinds.get(c, "text")) for c in df.columns]
+def markdown_table(df: DataFrame, kinds: dict[str, str], titles: dict[str, str] | None = None, labels: dict[str, dict[str, str]] | None = None) -> list[str]:
+    """Lines of a markdown table of a small report, rows in the frame's order.
+
+    titles: {column: heading}; labels: {column: {value: what is shown for it}}, other values as they are.
+    """
+    cells = []
+    for c in df.columns:
+        cell = markdown_cell(F.col(c), kinds.get(c, "text"))
+        for value, label in (labels or {}).get(c, {}).items():
+            cell = F.when(F.col(c).cast("string") == value, label).otherwise(cell)
+        cells.append(cell)
+    heads = [(titles or {}).get(c, c) for c in df.columns]
     lines = [r[0] for r in df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))).collect()]
-    return ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns), *lines]
+    return ["| " + " | ".join(heads) + " |", "|" + "---|" * len(df.columns), *lines]
 
 
 def level_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -107,11 +127,37 @@ def level_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     pages: (year int, text string). After the line '1 2 ... 12' come 31 lines, one per day,
     with a three-digit level for every month that has the day, each followed by its marks;
-    the next line has the twelve published means. Lines with another number of levels than
-    months give no rows (see page_problems).
+    the next line has the twelve published means. In a line with another number of levels than
+    months no level can be told its month: page_problems reports it, and it gives no rows.
     Returns (year, date, level_cm, marks) and (year, month, published_mean).
     """
-    number = r"(?<![\d.])\d{3}(?![\d.])"
+    located, table = _page_lines(pages)
+    fits = table.filter(F.size("months") == F.size("cells"))
+    levels = fits.select("year", "d", F.expr("inline(arrays_zip(months, cells, marks))")).select(
+        "year", F.make_date("year", "months", "d").alias("date"), F.col("cells").cast("int").alias("level_cm"), F.trim("marks").alias("marks")
+    )
+    mean_line = F.get("lines", F.col("head").cast("int") + 31)
+    means = located.select("year", F.posexplode(F.regexp_extract_all(mean_line, F.lit(f"({_LEVEL})"), F.lit(1))).alias("m", "value"))
+    return levels, means.select("year", (F.col("m") + 1).alias("month"), F.col("value").cast("int").alias("published_mean"))
+
+
+def page_problems(pages: DataFrame) -> DataFrame:
+    """What level_pages cannot read: (year, day_of_month, problem, line). A page without a table has one row without a day."""
+    located, table = _page_lines(pages)
+    lines = table.filter(F.size("months") != F.size("cells"))
+    found = F.concat(F.size("cells").cast("string"), F.lit(" levels for "), F.size("months").cast("string"), F.lit(" months"))
+    lines = lines.select("year", F.col("d").alias("day_of_month"), found.alias("problem"), "line")
+    bare = pages.join(located.select("year").distinct(), "year", "left_anti")
+    return lines.unionByName(bare.select("year", F.lit(None).cast("int").alias("day_of_month"), F.lit("no table").alias("problem"), F.lit(None).cast("string").alias("line")))
+
+
+#: A level: three digits by themselves (format of the source).
+_LEVEL = r"(?<![\d.])\d{3}(?![\d.])"
+
+
+def _page_lines(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pages with their lines and the place of the table's head; the table's day lines with months, levels and marks)."""
+    number = _LEVEL
     lines = F.transform(F.split("text", r"\r?\n"), lambda x: F.trim(x))
     located = pages.select("year", lines.alias("lines")).withColumn("head", F.array_position("lines", F.lit("1 2 3 4 5 6 7 8 9 10 11 12")))
     located = located.filter(F.col("head") > 0)
@@ -120,11 +166,5 @@ def level_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     cells = F.regexp_extract_all("line", F.lit(f"({number})"), F.lit(1))
     # what stands between a level and the next one are its marks
     marks = F.expr(rf"slice(split(line, '{number.replace(chr(92), chr(92) * 2)}'), 2, 100)")
-    table = days.select("year", "d", months.alias("months"), cells.alias("cells"), marks.alias("marks"))
-    fits = table.filter(F.size("months") == F.size("cells"))
-    levels = fits.select("year", "d", F.expr("inline(arrays_zip(months, cells, marks))")).select(
-        "year", F.make_date("year", "months", "d").alias("date"), F.col("cells").cast("int").alias("level_cm"), F.trim("marks").alias("marks")
-    )
-    mean_line = F.get("lines", F.col("head").cast("int") + 31)
-    means = located.select("year", F.posexplode(F.regexp_extract_all(mean_line, F.lit(f"({number})"), F.lit(1))).alias("m", "value"))
-    return levels, means.select("year", (F.col("m") + 1).alias("month"), F.col("value").cast("int").alias("published_mean"))
+    table = days.select("year", "d", "line", months.alias("months"), cells.alias("cells"), marks.alias("marks"))
+    return located, table

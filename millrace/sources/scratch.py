@@ -38,6 +38,13 @@ def delete_at_exit(spark: SparkSession, folder: str) -> None:
     fs.deleteOnExit(path)
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of the shared one that goes when the application ends."""
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    delete_at_exit(spark, folder)
+    return folder
+
+
 class Written:
     """A written table: its frame, its folder and what was observed while writing."""
 

@@ -30,7 +30,9 @@ def test_audit_counts_each_row_once(spark):
     ]
     df = spark.createDataFrame(rows, "parameter string, id long, text string, v double, raw double")
     got = daily.cleaning_audit(df, "parameter", ["id"], times.readable_time("text"), "v", "raw", 1000.0, "2024-01-01", "2024-01-05").first()
-    assert tuple(got)[1:] == (8, 4, 1, 1, 1)
+    assert tuple(got)[1:] == (8, 8, 4, 1, 1, 1, 1, 0)  # raw, selected, invalid, unit, duplicate, retained, station-days, valid ones
+    some = daily.cleaning_audit(df, "parameter", ["id"], times.readable_time("text"), "v", "raw", 1000.0, "2024-01-01", "2024-01-05", F.col("id") > 2).first()
+    assert tuple(some)[1:] == (8, 5, 4, 0, 0, 0, 0, 0)
 
 
 def test_close_clamp_season_cyclic(spark):

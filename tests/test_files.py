@@ -101,3 +101,27 @@ def test_written_tables_are_dropped_and_observed(spark):
     w.drop()
     with pytest.raises(Exception, match="(?i)path|file"):
         spark.read.parquet(w.folder).count()
+
+
+def test_page_problems(spark):
+    pages = spark.createDataFrame([(2020, page(2020, lambda m, d: 400 + d, broken=7)), (2021, "no table"), (2022, None)], "year int, text string")
+    got = {(r["year"], r["day_of_month"], r["problem"]) for r in files.page_problems(pages).collect()}
+    assert got == {(2020, 7, "11 levels for 12 months"), (2021, None, "no table"), (2022, None, "no table")}
+
+
+def test_csv_with_mark_gzip_and_labels(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, None)], "k int, v string")
+    files.write_csv(df, str(tmp_path / "out"), single=True, gzip=True, mark=True)
+    (part,) = (tmp_path / "out").glob("*.csv.gz")
+    assert gzip.open(part).read().startswith(b"\xef\xbb\xbfk,v")
+    lines = files.markdown_table(df, {}, {"k": "Number"}, {"v": {"a": "first"}})
+    assert lines[0] == "| Number | v |"
+    assert lines[2:] == ["| 1 | first |", "| 2 | — |"]
+
+
+def test_protected_spans_and_prefixes(spark):
+    from millrace.functions import text
+
+    df = spark.createDataFrame([("post32 and `post32`  at [a](x32)  https://h/post32 post33",), (None,)], "t string")
+    assert df.select(text.polish(F.col("t"))).first()[0] == "post 32 and `post32` at [a](x32) https://h/post32 post 33"
+    assert [r[0] for r in df.select(text.has_prefix(F.col("t"), "post")).collect()] == [True, False]

@@ -83,9 +83,10 @@ def test_long_texts_are_counted_by_mask_and_hash(spark, monkeypatch):
     rows = [x for no in range(1, 5) for x in load(no)]
     df = spark.createDataFrame(rows, SCHEMA)
     columns = ["load_no", "column_name", "n_distinct", "top_mask", "min_value", "max_value", "mask_divergence", "value_divergence"]
-    short = sorted(map(tuple, profile.column_profile(df).select(columns).collect()))
+    rows_of = lambda: [tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in profile.column_profile(df).select(columns).collect()]
+    short = set(rows_of())
     monkeypatch.setattr(profile, "LONG_TEXT", 2)
-    assert sorted(map(tuple, profile.column_profile(df).select(columns).collect())) == short
+    assert set(rows_of()) == short
 
 
 @pytest.mark.parametrize(
