@@ -380,7 +380,6 @@ def rare_tokens(items: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(hashes.view(np.int64))], ["item_id", "token"])
 
     each = items.mapInArrow(tokens, "item_id long, token long").distinct()
-    limit = F.greatest(F.lit(2.0), RARE * F.col("items"))
-    count = items.agg(F.countDistinct("item_id").alias("items"))
-    few = each.groupBy("token").count().crossJoin(F.broadcast(count)).filter(F.col("count") <= limit).select("token")
+    limit = items.agg(F.greatest(F.lit(2.0), RARE * F.countDistinct("item_id"))).scalar()
+    few = each.groupBy("token").count().filter(F.col("count") <= limit).select("token")
     return each.join(few, "token").groupBy("item_id").agg(F.collect_list("token").alias("rare"))
