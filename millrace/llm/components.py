@@ -50,12 +50,12 @@ def hash_to_min(pairs: DataFrame, a: str, b: str) -> DataFrame:
         if turn >= SETTLE and turn % SETTLE < 2:
             tables.append(write_cut(sets, "sets"))
             sets = tables[0].df
-            whole = write_cut(_whole_clusters(sets), "whole")
+            whole = _whole_clusters(sets)
             if before is None:
-                before = whole
+                before = write_cut(whole, "whole")
             else:
-                tables += [before, whole]
-                still = write_cut(whole.df.join(before.df, ["low", "n", "mark"], "left_semi").select(F.col("low").alias("g")), "settled", n="count(*)")
+                tables.append(before)
+                still = write_cut(whole.join(before.df, ["low", "n", "mark"], "left_semi").select(F.col("low").alias("g")), "settled", n="count(*)")
                 before = None
                 tables.append(still)
                 if still.seen["n"]:

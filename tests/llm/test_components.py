@@ -48,3 +48,28 @@ def test_no_links(spark):
     assert hash_to_min(df, "a", "b").count() == 0
     assert hash_to_min(df.limit(0), "a", "b").count() == 0
     assert hook_and_shortcut(df.selectExpr("a AS u", "b AS v")).count() == 0
+
+
+def test_settled_components_beside_a_long_chain(spark):
+    """Small components are laid aside while a chain and a grid of links go on; nothing is lost or joined."""
+    import random
+
+    r = random.Random(4)
+    pairs = [(k, k + 1) for k in range(5000, 5700)]
+    pairs += [(100 * c + a, 100 * c + b) for c in range(30) for a, b in [(0, 1), (2, 1), (3, 0), (7, 3)][: 1 + c % 4]]
+    pairs += [(9000 + r.randrange(60), 9000 + r.randrange(60)) for _ in range(50)] + [(20_000, 20_000 + k) for k in range(1, 200)]
+    r.shuffle(pairs)
+    parent = {x: x for p in pairs for x in p}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    linked = {x for p in pairs if p[0] != p[1] for x in p}
+    got = hash_to_min(spark.createDataFrame(pairs, "a long, b long"), "a", "b").collect()
+    assert sorted(map(tuple, got)) == sorted((root(x), x) for x in linked)
