@@ -31,6 +31,8 @@ JUMP = 7
 STOCK, RARE = 16, 0.01
 #: Stock phrases that together are at least this share of the item are the item.
 WHOLE = 0.9
+#: Diagonals this far apart are one stretch of text with words inserted or lost.
+DRIFT = 6
 #: An opening sentence that at least this many items share is an instruction.
 SHARED_OPENINGS = 2
 #: Seeds of evaluation items that the tasks hold (a checked bound); of more items the seeds are joined by hash in a shuffle.
@@ -155,6 +157,33 @@ def held_tokens(item: np.ndarray, doc: np.ndarray, diagonals: np.ndarray, tellin
             best = total if total >= WHOLE * n else best
         while a < len(segments) and segments[a][0] < edge:
             a += 1
+    return best if best >= HELD * n else max(best, _in_a_stretch(equal, along[:, n], diagonals, telling))
+
+
+def _in_a_stretch(equal: np.ndarray, agree: np.ndarray, diagonals: np.ndarray, telling: np.ndarray) -> int:
+    """Most item tokens, in order, that one stretch of text holds on diagonals within DRIFT of each other.
+
+    Between many insertions agreeing tokens stand too far apart for segments. Here each
+    counts, and every step to another diagonal costs one. Tokens that tell as little as a
+    stock phrase are none of it.
+    """
+    n, best = equal.shape[1], 0
+    total = np.r_[0, np.cumsum(agree)]
+    ends = np.searchsorted(diagonals, diagonals + DRIFT, side="right")
+    # windows that agree often enough and are no part of the one before
+    for a in np.flatnonzero((total[ends] - total[:-1] >= HELD * n) & np.r_[True, ends[1:] > ends[:-1]]):
+        b = int(ends[a])
+        there = np.any(equal[a:b], 0)
+        if int(there.sum()) < max(HELD * n, best + 1) or telling[there].sum() < 2:
+            continue
+        d = diagonals[a:b]
+        # after tokens 0..i: the most held by a way that ends on each diagonal; a step back by k skips k item tokens
+        held = np.zeros((n + DRIFT + 1, len(d)), np.int64)
+        back = np.maximum(0, d[:, None] - d[None, :])
+        for i in range(n):
+            before = held[i + DRIFT - back, np.arange(len(d))[:, None]] - (d[:, None] != d[None, :])
+            held[i + DRIFT + 1] = before.max(0) + equal[a:b, i]
+        best = max(best, int(held[-1].max()))
     return best
 
 
