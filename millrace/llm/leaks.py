@@ -128,13 +128,17 @@ def held_tokens(item: np.ndarray, doc: np.ndarray, diagonals: np.ndarray, tellin
     spot = diagonals[:, None] + np.arange(n)
     equal = (spot >= 0) & (spot < len(doc))
     equal &= doc[np.clip(spot, 0, len(doc) - 1)] == item
+    # no chain can take an item token that agrees nowhere
+    union = int(np.count_nonzero(equal.any(0)))
+    if union < HELD * n:
+        return int(np.count_nonzero(equal, 1).max())
     along = np.zeros((len(diagonals), n + 1), np.int64)
     np.cumsum(equal, 1, out=along[:, 1:])
     k = np.arange(n)
     near = along[:, np.minimum(k + NEAR // 2 + 1, n)] - along[:, np.maximum(k - NEAR // 2, 0)]
     row, at = np.nonzero(equal & (near >= NEAR_EQUAL))
     # all of one diagonal is in order and in one place, however scattered
-    best, whole = int(along[:, n].max()), int(np.any(equal, 0).sum()) >= WHOLE * n
+    best, whole = int(along[:, n].max()), union >= WHOLE * n
     if not len(row):
         return best
     first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (at[1:] - at[:-1] > NEAR)])
