@@ -36,7 +36,7 @@ DRIFT = 6
 #: An opening sentence that at least this many items share is an instruction.
 SHARED_OPENINGS = 2
 #: Seeds of evaluation items that the tasks hold (a checked bound); of more items the seeds are joined by hash in a shuffle.
-INDEX_SEEDS = 2_000_000
+INDEX_SEEDS = 4_000_000
 #: Candidate items of one document that are verified together.
 ITEMS_AT_ONCE = 256
 #: Characters worked on at once.
