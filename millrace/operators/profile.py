@@ -242,7 +242,7 @@ def column_profile(df: DataFrame, load: str = "load_no", skip: tuple[str, ...] =
     departs from the other loads' rates; or if its distinct values do, both by themselves and
     by their ratio to the values, so that the size of a load is no change. Rows with a null load number belong to no load
     and are left out; columns that are null throughout have only their presence; an empty
-    table has no rows. Any column names and any number of columns will do.
+    table has no rows. Any column names and any number of columns will do, but one at least (ValueError).
     Returns (load_no, column_name, n_rows, null_rate, nan_rate, n_distinct, min_value,
     max_value, top_mask, rare_mask_rate, mask_divergence, value_divergence,
     presence_divergence, changed).
