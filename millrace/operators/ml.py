@@ -9,17 +9,22 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.numbers import not_below_zero
+from millrace.operators import forest as class_forest
 from millrace.operators.metrics import long_predictions, regression_metrics
+from millrace.operators.ranks import quantiles
 from millrace.operators.stats import numbered
 from millrace.sources.scratch import write_cut
 
+#: Rows up to which a task holds all values of the features for their medians; those of more rows are ranked in ranges.
+MEDIAN_ROWS = 1_000_000
+
 
 @dataclass
 class Preparation:
@@ -48,11 +53,12 @@ class Preparation:
 
 def prepare(train: DataFrame, features: list[str], scale: bool = True) -> Preparation:
     """Fit medians (interpolated), flags of columns null in training, and population mean and deviation (0 becomes 1)."""
-    stats = train.agg(
-        *[F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(f"m_{c}") for c in features],
-        *[F.count_if(F.col(c).isNull()).alias(f"n_{c}") for c in features],
-    ).first()
-    ready = Preparation(features, {c: float(stats[f"m_{c}"] or 0.0) for c in features}, [c for c in features if stats[f"n_{c}"]])
+    stats = train.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col(c).isNull()).alias(f"n_{c}") for c in features]).first()
+    if stats["rows"] <= MEDIAN_ROWS:
+        medians = train.agg(*[F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(c) for c in features]).first()
+    else:
+        medians = {c: quantiles(train, [], c, {"m": 0.5}).first()["m"] for c in features}
+    ready = Preparation(features, {c: float(medians[c] or 0.0) for c in features}, [c for c in features if stats[f"n_{c}"]])
     if scale:
         wide = train.select(*[v.alias(k) for k, v in ready.columns().items()])
         row = wide.agg(*[F.avg(k).alias(f"a_{k}") for k in wide.columns], *[F.stddev_pop(k).alias(f"s_{k}") for k in wide.columns]).first()
@@ -126,7 +132,7 @@ def balanced_weights(df: DataFrame, label: str) -> DataFrame:
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     even = counts.agg(F.sum("_n") / F.count(F.lit(1))).scalar()
     weights = counts.select(label, (even / F.col("_n")).alias("weight"))
-    return df.join(weights, label)  # one row a class: Catalyst broadcasts it while that is small
+    return df.join(F.broadcast(weights), label)  # one row a class: joined by shuffle, all rows would meet in a task a class
 
 
 def fit_logistic(train: DataFrame, features: list[str], label: str, labels: list[str], c: float) -> Fitted:
@@ -141,12 +147,10 @@ def fit_logistic(train: DataFrame, features: list[str], label: str, labels: list
 
 
 def fit_class_forest(train: DataFrame, features: list[str], label: str, labels: list[str], depth: int = 8, leaf: int = 2, trees: int = 250, seed: int = 42) -> Fitted:
+    """Random forest of balanced classes; ceil(sqrt) features per split, splits are binned."""
     ready = prepare(train, features, scale=False)
-    data = ready.apply(with_class_index(balanced_weights(train, label), label, labels))
-    forest = RandomForestClassifier(
-        labelCol="class_index", weightCol="weight", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, featureSubsetStrategy="sqrt", seed=seed
-    )
-    return Fitted(ready, forest.fit(data), "random_forest", depth)
+    data = with_class_index(train.filter(F.col(label).isNotNull()), label, labels).select(*[v.alias(k) for k, v in ready.columns().items()], "class_index")
+    return Fitted(ready, class_forest.fit(data, list(ready.columns()), len(labels), depth, leaf, trees, seed), "random_forest", depth)
 
 
 def majority_class(train: DataFrame, label: str) -> DataFrame:

@@ -61,6 +61,8 @@ def class_models(spark, folder):
     named = lambda c: F.element_at(F.array(*[F.lit(x) for x in labels]), F.col(c).cast("int") + 1)
     out = ml.fit_logistic(train, names, "vehicle_class", labels, 1.0).predict(test, "p_logistic")
     out = ml.fit_class_forest(train, names, "vehicle_class", labels).predict(out, "p_forest")
+    # the models are applied once: the matrix reads its rows twice
+    out = write_cut(out.select("vehicle_class", "p_logistic", "p_forest"), "classes").df
     majority = ml.majority_class(train, "vehicle_class").scalar()
     parts = [F.struct(F.lit(m).alias("model"), c.alias("predicted")) for m, c in (("logistic", named("p_logistic")), ("forest", named("p_forest")), ("majority", majority))]
     long = out.select(F.col("vehicle_class").alias("actual"), F.inline(F.array(*parts)))
